@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe_chunks, chat_parts, hilbert_shards, rule_ledger
+from tarn.llm import bpe_chunks, chat_parts, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, toxicity_segments
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = rule_ledger.BASE.mask(rule_ledger.RULES)
@@ -34,6 +38,12 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.read_back(chat_parts.format_turns(parts))
 
 
+def op7_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_segments.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity_segments.score(docs, model).drop("passages")
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -41,9 +51,17 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
+def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gbt.score(docs, quality_gbt.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_rule_ledger": op4_rule_ledger,
     "op5_chat_parts": op5_chat_parts,
+    "op7_toxicity_segments": op7_toxicity_segments,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op10_quality_gbt": op10_quality_gbt,
 }
