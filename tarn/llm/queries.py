@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe_chunks, chat_parts, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, toxicity_segments
+from tarn.llm import bpe_chunks, chat_parts, decontaminate, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, secret_cnn, toxicity_segments
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_chunks.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=False)
@@ -51,17 +55,24 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
+def op9_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = secret_cnn.train(secret_cnn.made_findings())
+    return secret_cnn.scan(table(spark, sf_dir, "documents"), net).drop("found")
+
+
 def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_gbt.score(docs, quality_gbt.train(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_rule_ledger": op4_rule_ledger,
     "op5_chat_parts": op5_chat_parts,
     "op7_toxicity_segments": op7_toxicity_segments,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_secret_cnn": op9_secret_cnn,
     "op10_quality_gbt": op10_quality_gbt,
 }
