@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe_chunks, chat_parts, decontaminate, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, secret_cnn, toxicity_segments
+from tarn.llm import bpe_chunks, chat_parts, decontaminate, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, secret_cnn, token_files, toxicity_segments
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,11 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.read_back(chat_parts.format_turns(parts))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_files.write_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_blocks(blocks).withColumnRenamed("key", "doc_id")
+
+
 def op7_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity_segments.train(docs, table(spark, sf_dir, "labels"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_rule_ledger": op4_rule_ledger,
     "op5_chat_parts": op5_chat_parts,
+    "op6_token_files": op6_token_files,
     "op7_toxicity_segments": op7_toxicity_segments,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_secret_cnn": op9_secret_cnn,
