@@ -72,7 +72,7 @@ class _Model:
         begin2 = self.cumulative[p2] + m1 * (p1 < p2)
         end2 = begin2 + self.weight[p2] + m2
         in1, in2 = (value >= begin1) & (value < end1), (value >= begin2) & (value < end2)
-        out = np.where(in1, p1, p2)
+        out = np.where(in1, p1, p2).astype(np.int64)
         rest = np.flatnonzero(~(in1 | in2))
         plain = value[rest] - m1[rest] * (value[rest] >= end1[rest]) - m2[rest] * (value[rest] >= end2[rest])
         out[rest] = np.searchsorted(self.cumulative, plain, "right") - 1
