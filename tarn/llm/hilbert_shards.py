@@ -36,9 +36,10 @@ def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     cells = 1 << bits
     numbers = df.select("*", *(as_number(F.col(d), kinds[d]).alias(f"_v{i}") for i, d in enumerate(dims)))
     cuts = numbers.agg(*(F.percentile_approx(f"_v{i}", [k / cells for k in range(1, cells)], 10_000).alias(f"_c{i}") for i in range(len(dims))))
-    below = lambda i: F.coalesce(F.size(F.filter(f"_c{i}", lambda c: c < F.col(f"_v{i}"))), F.lit(0))
-    marked = numbers.crossJoin(F.broadcast(cuts))  # one row of cuts
-    return marked.select(*df.columns, *(F.when(F.col(f"_v{i}").isNull(), 0).otherwise(below(i)).cast("long").alias(f"_q{i}") for i in range(len(dims))))
+    known = cuts.first()  # dims x (cells - 1) numbers
+    borders = [F.array(*(F.lit(c) for c in known[i] or [])).cast("array<double>") for i in range(len(dims))]
+    below = lambda i: F.size(F.filter(borders[i], lambda c: c < F.col(f"_v{i}")))
+    return numbers.select(*df.columns, *(F.when(F.col(f"_v{i}").isNull(), 0).otherwise(below(i)).cast("long").alias(f"_q{i}") for i in range(len(dims))))
 
 
 def hilbert_index(axes: list[int], bits: int) -> int:
@@ -82,16 +83,17 @@ def curve_index(bits: int, dims: int) -> Column:
 def shard(df: DataFrame, key: str, dims: list[str], shards: int = 16, bits: int = 4) -> DataFrame:
     """Adds ``curve_index``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     placed = quantised(df, dims, bits).withColumn("_h", curve_index(bits, len(dims)))
-    total = df.agg(F.ceil(F.count("*") / GROUP_ROWS).alias("n")).select(F.greatest(F.col("n"), F.lit(MIN_BUCKETS)).alias("_n"))
+    total = df.count()
+    buckets = max(MIN_BUCKETS, -(-total // GROUP_ROWS))
     mixed = F.xxhash64(key, *dims)  # no wide column, so that counting reads none
-    rows = placed.crossJoin(F.broadcast(total)).withColumn("_mix", mixed).withColumn("_b", F.pmod("_mix", "_n")).select(*df.columns, "_h", "_b", "_mix")
+    rows = placed.withColumn("_mix", mixed).withColumn("_b", F.pmod("_mix", F.lit(buckets))).select(*df.columns, "_h", "_b", "_mix")
     counts = rows.groupBy("_h", "_b").agg(F.count("*").alias("_m"))
     ordered = W.orderBy("_h", "_b")  # one row a group: at most cells x buckets, far fewer than the rows
-    before = counts.select("_h", "_b", (F.sum("_m").over(ordered) - F.col("_m")).alias("_before"), F.sum("_m").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
+    before = counts.select("_h", "_b", (F.sum("_m").over(ordered) - F.col("_m")).alias("_before"))
     rank = F.row_number().over(W.partitionBy("_h", "_b").orderBy("_mix", key))
     at = F.col("_before") + F.col("_rank") - 1
     out = rows.withColumn("_rank", rank).join(before, ["_h", "_b"]).withColumn("_at", at)
-    whole = F.expr(f"_at * {shards} div _all").cast("int")
-    out = out.withColumn("shard", whole)
-    first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
+    place = F.expr(f"_at * {shards} div {total}").cast("int")
+    out = out.withColumn("shard", place)
+    first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")
     return out.select(*df.columns, F.col("_h").alias("curve_index"), "shard", (F.col("_at") - first).cast("long").alias("slot"))
