@@ -4,9 +4,10 @@ Each dimension is quantised by quantiles of the whole table into 2^bits cells, t
 curve, rows are ordered by that index and the order is cut into runs whose counts are at most one apart.  Neighbours on the
 curve are near in every dimension, so a reader that filters on any of them opens few files.
 
-No global sort: rows are counted by (curve index, bucket of a hash of the row), those bounded counts give every group its
-offset, and a row's place is the offset plus its rank inside the group.  The buckets (by key and dimensions) split a cell
-that holds a large part of all rows.
+No global sort: the rows of each cell are counted, which gives every cell its offset; a cell with many rows is split by a
+hash of key and dimensions into groups of at most about GROUP_ROWS rows or a LEAST_GROUPS-th of the table; and a row's
+place is the offset of its cell, plus that of its group in the cell, plus its rank in the group.  Only cell counts, 4,096
+numbers for three dimensions of four bits, come to the driver.
 
 Defined results: null metadata goes to cell 0; a null text has size 1 and checksum 0; repeated rows each get their own
 slot; an empty table gives no rows.  Equal rows are interchangeable.  Only the named columns are read.
@@ -14,12 +15,14 @@ slot; an empty table gives no rows.  Equal rows are interchangeable.  Only the n
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GROUP_ROWS = 50_000
-MIN_BUCKETS = 16
+LEAST_GROUPS = 64
 
 
 def as_number(column: Column, kind: str) -> Column:
@@ -83,17 +86,25 @@ def curve_index(bits: int, dims: int) -> Column:
 def shard(df: DataFrame, key: str, dims: list[str], shards: int = 16, bits: int = 4) -> DataFrame:
     """Adds ``curve_index``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
     placed = quantised(df, dims, bits).withColumn("_h", curve_index(bits, len(dims)))
-    total = df.count()
-    buckets = max(MIN_BUCKETS, -(-total // GROUP_ROWS))
+    cells = dict(placed.groupBy("_h").agg(F.count("*").alias("n")).collect())  # one row a cell at most: 2^(bits * dims)
+    total, places = sum(cells.values()), 1 << bits * len(dims)
+    group = max(1, min(GROUP_ROWS, -(-total // LEAST_GROUPS)))
+    sizes = [cells.get(h, 0) for h in range(places)]
+    starts = [0, *accumulate(sizes)][:places]
     mixed = F.xxhash64(key, *dims)  # no wide column, so that counting reads none
-    rows = placed.withColumn("_mix", mixed).withColumn("_b", F.pmod("_mix", F.lit(buckets))).select(*df.columns, "_h", "_b", "_mix")
+    rows = placed.withColumn("_mix", mixed).withColumn("_b", F.pmod("_mix", _known([max(1, -(-n // group)) for n in sizes]))).select(*df.columns, "_h", "_b", "_mix")
     counts = rows.groupBy("_h", "_b").agg(F.count("*").alias("_m"))
-    ordered = W.orderBy("_h", "_b")  # one row a group: at most cells x buckets, far fewer than the rows
-    before = counts.select("_h", "_b", (F.sum("_m").over(ordered) - F.col("_m")).alias("_before"))
+    inside = F.sum("_m").over(W.partitionBy("_h").orderBy("_b")) - F.col("_m")
+    before = counts.select("_h", "_b", (_known(starts) + inside).alias("_before"))
     rank = F.row_number().over(W.partitionBy("_h", "_b").orderBy("_mix", key))
     at = F.col("_before") + F.col("_rank") - 1
     out = rows.withColumn("_rank", rank).join(before, ["_h", "_b"]).withColumn("_at", at)
-    place = F.expr(f"_at * {shards} div {total}").cast("int")
+    place = F.expr(f"_at * {shards} div {max(1, total)}").cast("int")
     out = out.withColumn("shard", place)
     first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")
     return out.select(*df.columns, F.col("_h").alias("curve_index"), "shard", (F.col("_at") - first).cast("long").alias("slot"))
+
+
+def _known(values: list[int]) -> Column:
+    """The value for the cell ``_h``, out of a constant array."""
+    return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>"), F.col("_h").cast("int"))
