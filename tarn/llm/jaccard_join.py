@@ -284,7 +284,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", param
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None) -> DataFrame:
-    """The rows of ``docs`` with the least key of each class; all columns stay.  Rows without a key stay."""
+    """The rows of ``docs`` with the least key of each class; all columns stay.  Rows without a key stay.
+
+    The keys to drop may be many, so both sides are dealt by key; they are hashed, and the texts need not be sorted.
+    """
     joined = jaccard_join(docs, key, text, params)
     gone = joined.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), key, "left_anti")
