@@ -265,7 +265,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", param
     buckets = buckets.groupBy("n", "x", "y").agg(F.min_by("bucket", F.struct(band, "bucket")).alias("bucket")).select("bucket", "n")
     members = stored(banded.join(buckets, "bucket"), "members")
     wanted = members.select("digest", F.col("_id").alias("_wanted")).distinct()
-    found = source.join(wanted, (source["digest"] == wanted["digest"]) & source["_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
+    hashed = wanted.hint("shuffle_hash")  # the ids of members are hashed, so the texts need not be sorted
+    found = source.join(hashed, (source["digest"] == hashed["digest"]) & source["_id"].eqNullSafe(hashed["_wanted"]), "left_semi")
     chunks = F.ceil(F.col("n") / params.chunk).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     units = members.select("digest", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("digest"), chunks).cast("int").alias("side"))
