@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.operators import browse, graph, related
@@ -216,6 +217,18 @@ def win05(t: Tables) -> DataFrame:
     return browse.first_per_group(links, ["source_item", "target_item"], [F.col("p")]).drop("p")
 
 
+@query("win05_strongest_link_whole", """SELECT source_item, target_item, kind FROM (SELECT source_item, target_item, 'citation' AS kind, 1 AS p FROM references_cited WHERE target_item IS NOT NULL
+    UNION ALL SELECT item_id, before, 'author', 2 FROM (SELECT item_id, lag(item_id) OVER (PARTITION BY author_id ORDER BY item_id) AS before FROM authors_rels) r WHERE before IS NOT NULL) x
+    QUALIFY row_number() OVER (PARTITION BY source_item, target_item ORDER BY p) = 1""")
+def win05_whole(t: Tables) -> DataFrame:
+    """Links of every author: each item to the author's one before, so rows stay linear in authors_rels."""
+    cites = t.references_cited().filter("target_item is not null").select("source_item", "target_item", F.lit("citation").alias("kind"), F.lit(1).alias("p"))
+    before = F.lag("item_id").over(W.partitionBy("author_id").orderBy("item_id"))
+    following = t.authors_rels().select(F.col("item_id").alias("source_item"), before.alias("target_item")).filter("target_item is not null")
+    links = cites.unionByName(following.select("source_item", "target_item", F.lit("author").alias("kind"), F.lit(2).alias("p")))
+    return browse.first_per_group(links, ["source_item", "target_item"], [F.col("p")]).drop("p")
+
+
 @query("win09_top_per_type", """SELECT entity_type, entity_id, degree, rn FROM (SELECT *, CAST(row_number() OVER (PARTITION BY entity_type ORDER BY degree DESC, entity_id) AS INTEGER) AS rn FROM entity_names) x WHERE rn <= 3""")
 def win09(t: Tables) -> DataFrame:
     return browse.top_per_group(t.entity_names(), ["entity_type"], [F.desc("degree"), F.col("entity_id")], 3).select("entity_type", "entity_id", "degree", "rn")

@@ -165,6 +165,13 @@ def snk05(t: Tables) -> DataFrame:
     return sync.insert_if_absent(have, t("customer").select(F.col("c_nationkey").alias("id")), ["id"])
 
 
+@query("snk05_insert_if_absent_whole", "SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def snk05_whole(t: Tables) -> DataFrame:
+    """The existing rows are the nations of suppliers in debt, whatever their ids."""
+    have = t("supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("id"))
+    return sync.insert_if_absent(have, t("customer").select(F.col("c_nationkey").alias("id")), ["id"])
+
+
 @query("syn10_changes", """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'removed' WHEN c_custkey % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM customer
     WHERE (c_custkey % 5 = 0) <> (c_custkey % 7 = 0) OR (c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 = 0)""")
 def syn10(t: Tables) -> DataFrame:
