@@ -123,6 +123,18 @@ def joi17(t: Tables) -> DataFrame:
     return resolve.set_similarity_join(sets, sets, 0.4).filter("left_id < right_id").withColumn("similarity", F.round("similarity", 6))
 
 
+TITLE = "(?is)<title[^>]*>(.*?)</title>"
+
+
+@query("joi17_similar_titles_whole", f"""WITH w AS (SELECT page_id AS id, list_filter(list_distinct(string_split({NORMAL.format(f"regexp_extract(html, '{TITLE}', 1)")}, ' ')), lambda w: w <> '') AS x FROM pages)
+    SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id
+    WHERE len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) > 0.4""")
+def joi17_whole(t: Tables) -> DataFrame:
+    """The whole title element of every page, wherever it stands and however long it is."""
+    sets = t("pages").select(F.col("page_id").alias("id"), X.title_words(F.regexp_extract("html", TITLE, 1)).alias("tokens"))
+    return resolve.set_similarity_join(sets, sets, 0.4).filter("left_id < right_id").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("ent03_match_records", f"""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN '10.1000/' || o_orderkey END AS doi, o_orderpriority || ' volume ' || o_custkey AS title, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderkey % 10 < 5),
     c AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'https://doi.org/10.1000/' || (o_orderkey - 5) END AS doi, o_orderpriority || ' volume ' || o_custkey AS title, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders WHERE o_orderkey % 10 >= 5),
     e AS (SELECT r.id, c.id AS match_id, 1 AS tier FROM r JOIN c ON r.doi = replace(c.doi, 'https://doi.org/', '')),
