@@ -3,7 +3,8 @@
 Documents are sets of five-word shingles.  Equal texts form a class with one representative.  Representatives that share a
 band of MinHash values are candidates; their MinHash values are compared a few at a time, a pair is dropped as soon as the
 posterior probability that its similarity reaches the threshold falls below a tolerance, and the rest is verified on the
-whole shingle sets (64-bit hashes).
+whole shingle sets (64-bit hashes).  A link is lost only by chance: a pair exactly at the threshold shares no band with a
+probability of 2.9e-7, and the posterior drops it at one of its looks with 1.1e-5 (``Params.missed``).
 
 A band bucket is never gathered in one place: it is dealt into chunks of bounded size and every pair of chunks is a unit
 of work, so a bucket that holds a large part of all rows spreads over the cluster.  A unit returns, for each of its
@@ -28,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
@@ -42,8 +43,8 @@ MIX, ODD = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x9E3779B97F4A7C15)
 class Params:
     words: int = 5
     threshold: float = 0.8
-    bands: int = 16
-    rows: int = 4
+    bands: int = 21  # of this many rows: a pair at the threshold shares no band with a probability of (1 - t^rows)^bands = 2.9e-7
+    rows: int = 3
     tolerance: float = 1e-6
     step: int = 8  # MinHash values compared between two looks at the posterior
     chunk: int = 512  # documents in a chunk of a bucket
@@ -51,7 +52,18 @@ class Params:
 
     @property
     def hashes(self) -> int:
-        return self.bands * self.rows
+        """MinHash values: those of the bands, and as many more as fill the last step."""
+        return -(-self.bands * self.rows // self.step) * self.step
+
+    def missed(self) -> tuple[float, float]:
+        """Chances that a pair exactly at the threshold shares no band, and that the posterior drops it."""
+        t, alive, before = self.threshold, np.ones(1), 0
+        for upto, needed in self.needed():
+            n = upto - before
+            alive = np.convolve(alive, [comb(n, m) * t**m * (1 - t) ** (n - m) for m in range(n + 1)])
+            alive[:needed] = 0
+            before = upto
+        return (1 - t**self.rows) ** self.bands, 1 - float(alive.sum())
 
     def needed(self) -> list[tuple[int, int]]:
         """(n, m): after n values a pair goes on only with m agreeing ones.
@@ -124,8 +136,12 @@ def band_keys(signature: np.ndarray, params: Params) -> np.ndarray:
     return out
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
+
+
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))).alias("digest"))
+    return docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), _digest(text).alias("digest"))
 
 
 def sketched(source: DataFrame, params: Params) -> DataFrame:
@@ -255,7 +271,11 @@ def _worked(units: DataFrame, params: Params) -> DataFrame:
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None) -> DataFrame:
     """One row per document: key, ``text_id`` (least key among equal texts), ``class_id`` (least key among all texts that
     links connect it to) and ``n_links`` (different texts whose similarity to it reaches the threshold)."""
-    params = params or Params()
+    return _joined(docs, key, text, params or Params()).drop("digest")
+
+
+def _joined(docs: DataFrame, key: str, text: str, params: Params) -> DataFrame:
+    """The rows of ``jaccard_join`` with ``digest``, the text's (null where it has no words)."""
     source = _source(docs, key, text)
     sketch = stored(sketched(source, params), "sketch")
     texts = stored(sketch.filter("digest is not null").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("keys").alias("keys")), "texts")
@@ -281,14 +301,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", param
     classes = texts.select("digest", F.col("_id").alias("text_id")).join(named, "digest", "left")
     rows = sketch.select("_id", "digest").join(classes, "digest", "left")
     own = F.coalesce("text_id", "_id")
-    return rows.select(F.col("_id").alias(key), own.alias("text_id"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select(F.col("_id").alias(key), own.alias("text_id"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None) -> DataFrame:
     """The rows of ``docs`` with the least key of each class; all columns stay.  Rows without a key stay.
 
-    The keys to drop may be many, so both sides are dealt by key; they are hashed, and the texts need not be sorted.
+    Rows are told apart by key and text, so of a key with several texts only those that are copies go.  What goes may be
+    much, so both sides are dealt by key; it is hashed, and the texts need not be sorted.
     """
-    joined = jaccard_join(docs, key, text, params)
-    gone = joined.filter(F.col(key) != F.col("class_id")).select(key).distinct()
-    return docs.join(gone.hint("shuffle_hash"), key, "left_anti")
+    joined = _joined(docs, key, text, params or Params())
+    gone = joined.filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("_key"), F.col("digest").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), (docs[key] == gone["_key"]) & (_digest(text) == gone["_gone"]), "left_anti")

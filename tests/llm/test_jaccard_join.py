@@ -101,3 +101,20 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 150)] + [(7, 7), (None, 3)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 150), 100)}
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """20,000 pairs of nine shingles with eight in common; with 16 bands of 4 values, four of them in the mean share none."""
+    params = jaccard_join.Params()
+    assert params.missed()[0] <= params.tolerance and sum(params.missed()) < 2e-5
+    rng = np.random.default_rng(7)
+    drawn = rng.integers(0, 1 << 63, (20_000, 10), dtype=np.uint64)
+    hashes = np.stack([drawn[:, :9], drawn[:, 1:]], axis=1).reshape(-1)
+    keys = jaccard_join.band_keys(jaccard_join.minhashes(hashes, np.arange(0, len(hashes) + 1, 9), params), params)
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+
+
+def test_a_key_with_a_copy_and_another_text_keeps_the_other(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (6, "u v w x y z"), (None, "a b c d e f"), (7, None)]
+    left = jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", "a b c d e f"), ("5", "u v w x y z"), ("7", ""), ("None", "a b c d e f")]
