@@ -11,7 +11,8 @@ Passages that no item can reach the threshold in are told apart for a whole batc
 with an item add, and all that its common terms could, bounds the score from above.
 
 The items are broadcast.  They are a test set of known size: ``block_items`` at most go to one scan, a larger set is
-searched in blocks of items, one scan for each.
+searched in blocks of items, one scan for each.  Term frequencies, lengths and the passage width are those of all items
+in every block, so what is found does not depend on how the items are cut.
 
 Words: runs outside ASCII white space, lower-cased, without non-alphanumeric characters at their ends.
 
@@ -27,7 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
+from math import fsum, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.storage import stored
 from tarn.llm.textarrays import slices, text_of, word_keys, words_of
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,20 +73,34 @@ def grams(own: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items: how many, their words in all and at most, and in how many items a term is."""
+
+    items: int
+    words: int
+    longest: int
+    frequency: dict[str, int]
+
+
 class Index:
-    """terms: number of each term.  items, impacts, block_max: per term.  bound: per term, its largest impact."""
+    """terms: number of each term.  items, impacts, block_max: per term.  bound: per term, its largest impact.
+
+    Items that are a part of a larger set come with the statistics of the whole set.
+    """
 
-    def __init__(self, items: list[tuple[object, str]], params: Params) -> None:
+    def __init__(self, items: list[tuple[object, str]], params: Params, whole: Statistics | None = None) -> None:
         self.params = params
         self.keys = [k for k, t in items]
         split = [parts(t or "") for _, t in items]
         self.grams = [(grams(q, params.gram) or grams(a, params.gram), grams(a, params.gram) or grams(q, params.gram)) for q, a in split]
         counts = [Counter(q + a) for q, a in split]
         lengths = [sum(c.values()) for c in counts]
-        self.longest = max(lengths, default=0)
-        average = max(1.0, sum(lengths) / max(1, len(lengths)))
         frequency = Counter(t for c in counts for t in c)
-        idf = {t: log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
+        whole = whole or Statistics(len(items), sum(lengths), max(lengths, default=0), frequency)
+        self.longest = whole.longest
+        average = max(1.0, whole.words / max(1, whole.items))
+        idf = {t: log(1 + (whole.items - whole.frequency[t] + 0.5) / (whole.frequency[t] + 0.5)) for t in frequency}
         self.terms = {t: i for i, t in enumerate(frequency)}
         self.items: list[list[int]] = [[] for _ in frequency]
         self.impacts: list[list[float]] = [[] for _ in frequency]
@@ -135,11 +151,12 @@ class Index:
                 if at[k] < len(own):
                     shallow += self.block_max[terms[k]][at[k] // size]
             if shallow >= need:
-                score = 0.0
+                found = []
                 for k in moved:
                     if at[k] < len(lists[k]) and lists[k][at[k]] == pivot:
-                        score += self.impacts[terms[k]][at[k]]
+                        found.append(self.impacts[terms[k]][at[k]])
                         at[k] += 1
+                score = fsum(found)  # the same in whatever order the terms are numbered
                 if score >= need:
                     out.append((pivot, score))
             else:
@@ -201,7 +218,7 @@ def _passages(block: np.ndarray, term: np.ndarray, base: np.ndarray, index: Inde
 def _hits(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, float, float, float]]:
     """(row, item, first word of the passage, score, question and answer overlap), the best passage of each row and item."""
     plain = words_of(text_of(column))
-    if not len(plain.codes) or not index.longest:
+    if not len(plain.codes) or not index.terms:
         return
     keys = word_keys(plain.vocab)
     term = np.fromiter((index.terms.get(k, -1) if k else -2 for k in keys), np.int64, len(keys))
@@ -240,10 +257,37 @@ def _hits(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, float
 def _indexes(items: DataFrame, key: str, text: str, params: Params) -> Iterator[Index]:
     """One index for each block of items; only one block's texts are on the driver at a time."""
     usable = items.select(key, text).filter(F.col(text).isNotNull())
-    blocks = -(-usable.count() // params.block_items)
+    n = usable.count()
+    blocks = -(-n // params.block_items)
+    in_order = lambda rows: sorted(((r[0], r[1]) for r in rows.collect()), key=repr)
+    if blocks == 1:
+        yield Index(in_order(usable), params)
+    if blocks < 2:
+        return
+    block = F.pmod(F.xxhash64(key, text), F.lit(blocks))
+    counted = stored(_counted(usable.select(block.alias("block"), F.col(text).alias("_text"))), "item-terms")
+    total, longest = counted.filter("term is null").agg(F.sum("n"), F.max("n")).first()
+    terms = counted.filter("term is not null")
+    frequency = stored(terms.groupBy("term").agg(F.count("*").alias("n")), "item-frequency")
     for k in range(blocks):
-        rows = usable if blocks == 1 else usable.filter(F.pmod(F.xxhash64(key, text), F.lit(blocks)) == k)
-        yield Index(sorted(((r[0], r[1]) for r in rows.collect()), key=repr), params)
+        own = frequency.join(terms.filter(F.col("block") == k).select("term").distinct(), "term")
+        yield Index(in_order(usable.filter(block == k)), params, Statistics(n, total, longest, {r.term: r.n for r in own.collect()}))
+
+
+def _counted(items: DataFrame) -> DataFrame:
+    """(block, term, n): each item's distinct terms with how often it has them, and a row without a term for its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text"):
+            rows = []
+            for block, text in zip(part["block"].to_pylist(), part["_text"].to_pylist(), strict=True):
+                question, answer = parts(text)
+                own = Counter(question + answer)
+                rows += [(block, None, own.total()), *((block, t, c) for t, c in own.items())]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["block", "term", "n"])
+
+    return items.mapInArrow(run, "block long, term string, n long")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", params: Params | None = None) -> DataFrame:

@@ -40,6 +40,20 @@ def test_block_max_wand_returns_all_above_the_threshold(spark):
         assert {i for i, _ in index.search(terms)} == want
 
 
+def test_leaks_do_not_depend_on_blocks_of_items(spark):
+    """Edited copies score near the threshold, which a block's own term frequencies and lengths would move."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = []
+    for r in items.collect():
+        own = r.text.split()
+        rows += [(10 * r.item_id + k, " ".join(["so"] * 40 + [w for j, w in enumerate(own) if j % 7 < 7 - k] + ["then"] * 40)) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda n: sorted((r.doc_id, r.item_id, r.passage_start, round(r.score, 9)) for r in decontaminate.find_leaks(docs, items, params=decontaminate.Params(block_items=n)).collect())
+    whole = found(20_000)
+    assert any(r[3] < 0.99 for r in whole)
+    assert found(9) == whole
+
+
 def test_defined_leaks(spark):
     item = "what is the colour of the clear sky at noon answer: it is blue as deep water"
     items = spark.createDataFrame([(1, item), (1, item), (2, None), (3, "")], "item_id long, text string")
