@@ -23,11 +23,15 @@ import numpy as np
 
 HEADER = struct.Struct("<4sHHIIII")  # magic, version, lanes, ids, vocabulary, crc of ids, crc of payload
 MAGIC, VERSION = b"TRC2", 1
-MOST_LANES, LEAST_STEPS, HASH_BITS, GAIN, REFRESH = 4096, 64, 18, 24, 16
+MOST_LANES, LEAST_STEPS, HASH_BITS, GAIN, REFRESH, GUIDE_BITS = 4096, 64, 18, 24, 16, 15
 _LOW = np.uint64(1 << 32)
 _WORD = np.uint64(32)
 
 
+# What an id's confidence becomes, by 4 * (it came) + confidence; at confidence 0 an id that did not come is replaced.
+_STEP = np.array([0, -1, -1, -1, 1, 1, 1, 0], np.int32)
+
+
 class _Model:
     def __init__(self, vocabulary: int) -> None:
         self.vocabulary = vocabulary
@@ -37,6 +41,7 @@ class _Model:
         self.tally = np.tile(np.array([1, 1, 4], np.int64), (32, 1))
         self.waiting: list[np.ndarray] = []
         self.steps = 0
+        self.guide: np.ndarray | None = None
         self._mass()
 
     def _mass(self) -> None:
@@ -46,53 +51,70 @@ class _Model:
         self.mass2 = all0 * self.tally[:, 0] // miss
         self.mass1 = all0 * self.tally[:, 1] // miss
         self.mass1[1::2] = 0  # the two ids agree
-        self.all0 = all0
+        self.totals = (all0 + self.mass1 + self.mass2).astype(np.uint64)
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         self.last = last
-        self.slot = (last * 0x9E3779B1 + before * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - HASH_BITS)
-        own1, own2 = self.after1[last], self.after2[self.slot]
-        self.p1, self.q1, self.p2, self.q2 = own1 >> 2, own1 & 3, own2 >> 2, own2 & 3
-        self.context = (self.q2 * 4 + self.q1) * 2 + (self.p1 == self.p2)
-        self.m1, self.m2 = self.mass1[self.context], self.mass2[self.context]
-        self.total = (self.all0 + self.m1 + self.m2).astype(np.uint64)
+        mixed = last.astype(np.uint32) * np.uint32(0x9E3779B1) + before.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.slot = (mixed >> np.uint32(32 - HASH_BITS)).astype(np.int64)
+        self.own1, self.own2 = self.after1.take(last), self.after2.take(self.slot)
+        self.p1, self.p2 = (self.own1 >> 2).astype(np.int64), (self.own2 >> 2).astype(np.int64)
+        self.q1, self.q2 = self.own1 & 3, self.own2 & 3
+        self.context = ((self.q2 << 3) + (self.q1 << 1) + (self.p1 == self.p2)).astype(np.int64)
+        self.m1, self.m2, self.total = self.mass1.take(self.context), self.mass2.take(self.context), self.totals.take(self.context)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hit1, hit2 = self.p1 == ids, self.p2 == ids
-        start = self.cumulative[ids] + self.m1 * (self.p1 < ids) + self.m2 * (self.p2 < ids)
-        size = self.weight[ids] + self.m1 * hit1 + self.m2 * hit2
-        return start.astype(np.uint64), size.astype(np.uint64)
+        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        start, size = self.cumulative.take(ids), self.weight.take(ids)
+        start += self.m1 * (self.p1 < ids)
+        start += self.m2 * (self.p2 < ids)
+        size += self.m1 * self.hit1
+        size += self.m2 * self.hit2
+        return start.view(np.uint64), size.view(np.uint64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The id whose interval holds the value."""
-        value = value.astype(np.int64)
+        value = value.view(np.int64)
         p1, p2, m1, m2 = self.p1, self.p2, self.m1, self.m2
-        begin1 = self.cumulative[p1] + m2 * (p2 < p1)
-        end1 = begin1 + self.weight[p1] + m1 + m2 * (p1 == p2)
-        begin2 = self.cumulative[p2] + m1 * (p1 < p2)
-        end2 = begin2 + self.weight[p2] + m2
-        in1, in2 = (value >= begin1) & (value < end1), (value >= begin2) & (value < end2)
-        out = np.where(in1, p1, p2).astype(np.int64)
+        begin1, begin2 = self.cumulative.take(p1), self.cumulative.take(p2)
+        begin1 += m2 * (p2 < p1)
+        begin2 += m1 * (p1 < p2)
+        past1, past2 = value >= begin1 + self.weight.take(p1) + m1 + m2 * (p1 == p2), value >= begin2 + self.weight.take(p2) + m2
+        in1, in2 = (value >= begin1) & ~past1, (value >= begin2) & ~past2
+        out = np.where(in1, p1, p2)
         rest = np.flatnonzero(~(in1 | in2))
-        plain = value[rest] - m1[rest] * (value[rest] >= end1[rest]) - m2[rest] * (value[rest] >= end2[rest])
-        out[rest] = np.searchsorted(self.cumulative, plain, "right") - 1
+        out[rest] = self._order0((value - m1 * past1 - m2 * past2).take(rest))
+        return out
+
+    def _order0(self, value: np.ndarray) -> np.ndarray:
+        """The id whose order-0 interval holds the value; a guide from the high bits of values decides most of them."""
+        if self.guide is None:
+            self.shift = max(0, int(self.cumulative[-1]).bit_length() - GUIDE_BITS)
+            over = (1 << self.shift) - 1
+            slots = (int(self.cumulative[-1]) >> self.shift) + 2
+            self.guide = np.cumsum(np.bincount((self.cumulative[1:] + over) >> self.shift, minlength=slots))  # ids that end at or below a slot's begin
+        slot = value >> self.shift
+        out, upto = self.guide.take(slot), self.guide.take(slot + 1)
+        unsure = np.flatnonzero(out != upto)
+        out[unsure] = np.searchsorted(self.cumulative, value.take(unsure), "right") - 1
         return out
 
     def learn(self, ids: np.ndarray) -> None:
-        hit1, hit2 = self.p1 == ids, self.p2 == ids
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+        outcome = np.where(self.hit2, 0, 2 - self.hit1.view(np.int8))
         self.tally += np.bincount(self.context * 3 + outcome, minlength=96).reshape(32, 3)
-        large = self.tally.sum(axis=1) > 1 << 16
-        if large.any():
+        if self.steps % 4 == 0:
+            large = self.tally.sum(axis=1) > 1 << 16
             self.tally[large] = self.tally[large] // 2 + 1
-        for known, at, hit, p, q in ((self.after1, self.last, hit1, self.p1, self.q1), (self.after2, self.slot, hit2, self.p2, self.q2)):
-            known[at] = np.where(hit, p * 4 + np.minimum(q + 1, 3), np.where(q == 0, ids * 4, p * 4 + q - 1))
+        fresh = ids.astype(np.int32) << 2
+        for known, at, hit, own, q in ((self.after1, self.last, self.hit1, self.own1, self.q1), (self.after2, self.slot, self.hit2, self.own2, self.q2)):
+            known[at] = np.where(hit | (q > 0), own + _STEP.take((hit.view(np.int8) << 2) + q), fresh)
         self.waiting.append(ids)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8):
             self.weight += GAIN * np.bincount(np.concatenate(self.waiting), minlength=self.vocabulary)
             self.waiting.clear()
             np.cumsum(self.weight, out=self.cumulative[1:])
+            self.guide = None
         self._mass()
 
 

@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 
+BLANKS = [0x20, *range(0x09, 0x0E)]
 SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE[BLANKS] = True
 
 
 class Text(NamedTuple):

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarn.llm import bpe_chunks, queries, range_coder, token_files
@@ -100,6 +101,22 @@ def test_damaged_blocks_are_refused():
         range_coder.decode(bytes(block))
 
 
+def test_damaged_keys_and_lengths_are_refused(spark):
+    blocks = token_files.write_blocks(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), WORD)
+    assert len(token_files.read_blocks(blocks).collect()) == 2
+    for column in ("keys", "lengths"):
+        with pytest.raises(Exception, match="damaged keys or lengths"):
+            token_files.read_blocks(blocks.withColumn(column, F.reverse(column))).collect()
+
+
+def test_one_key_with_many_texts_is_cut_between_them(spark):
+    df = spark.createDataFrame([(None if k % 3 else 7, f"text {k}") for k in range(600)], "doc_id long, text string")
+    blocks = token_files.write_blocks(df, WORD, shard_bytes=400)
+    assert max(r.n for r in blocks.groupBy("shard").agg(F.sum(F.size("keys")).alias("n")).collect()) < 200
+    rows = sorted(token_files.read_blocks(blocks).collect(), key=lambda r: r.start)
+    assert [r.key for r in rows] == [None] * 400 + [7] * 200
+
+
 def test_token_files_against_the_library(spark, word_library):
     docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     rows = {r.doc_id: r for r in queries.op6_token_files(spark, SF).collect()}
