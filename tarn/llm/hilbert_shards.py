@@ -7,10 +7,10 @@ curve are near in every dimension, so a reader that filters on any of them opens
 No global sort: the rows of each cell are counted, which gives every cell its offset; a cell with many rows is split by a
 hash of key and dimensions into groups of at most about GROUP_ROWS rows or a LEAST_GROUPS-th of the table; and a row's
 place is the offset of its cell, plus that of its group in the cell, plus its rank in the group.  Only cell counts, 4,096
-numbers for three dimensions of four bits, come to the driver.
+numbers for three dimensions of four bits, the quantile cuts and one total for each range of strings come to the driver.
 
 Defined results: null metadata goes to cell 0; a null text has size 1 and checksum 0; repeated rows each get their own
-slot; an empty table gives no rows.  Equal rows are interchangeable.  Only the named columns are read.
+slot, and rows equal in key and dimensions share a group; an empty table gives no rows.  Equal rows are interchangeable.
 """
 
 from __future__ import annotations
@@ -21,28 +21,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.llm.storage import stored
+
 GROUP_ROWS = 50_000
 LEAST_GROUPS = 64
+ADDED = ("curve_index", "shard", "slot")
+
 
+def string_cuts(df: DataFrame, column: str, cells: int) -> list[str]:
+    """The quantile cuts of a string column over all rows, whole strings compared; at most cells - 1 of them.
 
-def as_number(column: Column, kind: str) -> Column:
-    """Numbers as they are; strings by their first seven bytes, which keeps their order."""
-    if kind != "string":
-        return column.cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+    Equal strings are counted first.  Distinct ones are dealt into ranges of strings, the ranges' totals give every range its
+    offset, and inside a range a running total finds the strings that a cut falls on.
+    """
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    ranged = stored(counted.repartitionByRange(F.col("v")).withColumn("part", F.spark_partition_id()), "distinct-strings")
+    totals = sorted(ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
+    total = sum(r.n for r in totals)
+    starts = dict(zip((r.part for r in totals), [0, *accumulate(r.n for r in totals)], strict=False))
+    if not total:
+        return []
+    offset = F.get(F.array(*(F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts) + 1))), F.col("part"))
+    upto = offset + F.sum("n").over(W.partitionBy("part").orderBy("v"))
+    # cut k is the first string up to which there are k / cells of the rows
+    last = F.floor((F.col("upto") * cells) / total).cast("int")
+    first = F.floor(((F.col("upto") - F.col("n")) * cells) / total).cast("int")
+    crossed = ranged.withColumn("upto", upto).filter(last > first).withColumn("k", F.explode(F.sequence(first + 1, last))).filter(F.col("k") < cells)
+    return [r.v for r in crossed.select("v").distinct().orderBy("v").collect()]
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
     """Adds ``_q0.._qn``: how many quantile cuts of the whole table lie below the value."""
-    kinds = dict(df.dtypes)
-    cells = 1 << bits
-    numbers = df.select("*", *(as_number(F.col(d), kinds[d]).alias(f"_v{i}") for i, d in enumerate(dims)))
-    cuts = numbers.agg(*(F.percentile_approx(f"_v{i}", [k / cells for k in range(1, cells)], 10_000).alias(f"_c{i}") for i in range(len(dims))))
-    known = cuts.first()  # dims x (cells - 1) numbers
-    borders = [F.array(*(F.lit(c) for c in known[i] or [])).cast("array<double>") for i in range(len(dims))]
-    below = lambda i: F.size(F.filter(borders[i], lambda c: c < F.col(f"_v{i}")))
-    return numbers.select(*df.columns, *(F.when(F.col(f"_v{i}").isNull(), 0).otherwise(below(i)).cast("long").alias(f"_q{i}") for i in range(len(dims))))
+    kinds, cells = dict(df.dtypes), 1 << bits
+    texts, rest = [d for d in dims if kinds[d] == "string"], [d for d in dims if kinds[d] != "string"]
+    cuts = {d: string_cuts(df.select(d), d, cells) for d in texts}
+    if rest:
+        found = df.agg(*(F.percentile_approx(F.col(d).cast("double"), [k / cells for k in range(1, cells)], 10_000).alias(d) for d in rest)).first()
+        cuts |= {d: found[d] or [] for d in rest}  # dims x (cells - 1) values
+
+    def cell(d: str) -> Column:
+        kind = "string" if d in texts else "double"
+        borders = F.array(*(F.lit(c) for c in cuts[d])).cast(f"array<{kind}>")
+        value = F.col(d).cast(kind)
+        return F.when(value.isNull(), 0).otherwise(F.size(F.filter(borders, lambda c: c < value))).cast("long")
+
+    return df.select("*", *(cell(d).alias(f"_q{i}") for i, d in enumerate(dims)))
 
 
 def hilbert_index(axes: list[int], bits: int) -> int:
@@ -84,7 +107,11 @@ def curve_index(bits: int, dims: int) -> Column:
 
 
 def shard(df: DataFrame, key: str, dims: list[str], shards: int = 16, bits: int = 4) -> DataFrame:
-    """Adds ``curve_index``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard)."""
+    """Adds ``curve_index``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard); columns of the input
+    with these names are replaced."""
+    given, own = df.columns, [f"_in{k}_" for k in range(len(df.columns))]
+    df, key, dims = df.toDF(*own), own[given.index(key)], [own[given.index(d)] for d in dims]
+    kept = [(o, g) for o, g in zip(own, given, strict=True) if g not in ADDED]
     placed = quantised(df, dims, bits).withColumn("_h", curve_index(bits, len(dims)))
     cells = dict(placed.groupBy("_h").agg(F.count("*").alias("n")).collect())  # one row a cell at most: 2^(bits * dims)
     total, places = sum(cells.values()), 1 << bits * len(dims)
@@ -100,9 +127,15 @@ def shard(df: DataFrame, key: str, dims: list[str], shards: int = 16, bits: int
     at = F.col("_before") + F.col("_rank") - 1
     out = rows.withColumn("_rank", rank).join(before, ["_h", "_b"]).withColumn("_at", at)
     place = F.expr(f"_at * {shards} div {max(1, total)}").cast("int")
-    out = out.withColumn("shard", place)
-    first = F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")
-    return out.select(*df.columns, F.col("_h").alias("curve_index"), "shard", (F.col("_at") - first).cast("long").alias("slot"))
+    out = out.withColumn("_shard", place)
+    first = F.expr(f"(cast(_shard as long) * {total} + {shards - 1}) div {shards}")
+    return out.select(*(F.col(o).alias(g) for o, g in kept), F.col("_h").alias("curve_index"), F.col("_shard").alias("shard"), (F.col("_at") - first).cast("long").alias("slot"))
+
+
+def write_shards(placed: DataFrame, path: str, files: int = 64) -> None:
+    """Writes the shards as folders of Parquet files, each file a run of the curve: its footer's least and greatest values let
+    a reader that filters on any dimension pass it over.  ``files`` ranges of the order are written by as many tasks."""
+    placed.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def _known(values: list[int]) -> Column:
