@@ -6,7 +6,8 @@ and document parts become ordered placeholders that stand for a number of model
 Template, one segment a turn:   ``<|turn|>role\n`` escaped-content ``<|end|>\n``
 
 Escaping is reversible: every backslash is doubled, and a backslash is put after the first character of every control
-string, so no control string survives inside content.  Reading back drops each backslash and keeps what follows it.
+string, so no control string survives inside content; in a role, line feeds have a backslash too.  Reading back drops each
+backslash and keeps what follows it.
 
 Defined results: null text or null parts count as empty; a null role is the empty role; turns with a null conversation
 form one conversation; equal turn numbers are ordered by role, then content; a conversation with no assistant turn has an
@@ -28,8 +29,7 @@ from pyspark.sql import functions as F
 CONTROL = ("<|", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
 _ESCAPE = re.compile(r"\\|" + "|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-_SEGMENT = re.compile(r"<\|turn\|>(.*?)\n(.*)<\|end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_SEGMENT = re.compile(r"<\|turn\|>((?:\\.|[^\\\n])*)\n(.*)<\|end\|>\n", re.S)
 
 PART = "struct<kind:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>"
 SEGMENT = (
@@ -103,7 +103,7 @@ def format_turns(turns: DataFrame, flattener: Flattener | None = None, loss_role
             for row in batch.to_pylist():
                 role = row["role"] or ""
                 content, attached = flat.flatten(row["parts"])
-                head = f"<|turn|>{escape(role)}\n"
+                head = "<|turn|>" + escape(role).replace("\n", "\\\n") + "\n"
                 learns = role == loss_role
                 rows.append({"conv_id": row["conv_id"], "turn": row["turn"], "role": role, "segment": f"{head}{content}<|end|>\n", "loss_start": len(head), "loss_end": len(head) + len(content) * learns, "attachments": attached, "n_media_tokens": sum(a["n_tokens"] for a in attached)})
             schema = schema or pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("attachments", pa.list_(pa.struct([("position", pa.int64()), ("kind", pa.string()), ("ref", pa.string()), ("n_tokens", pa.int64())]))), ("n_media_tokens", pa.int64())])
@@ -112,13 +112,7 @@ def format_turns(turns: DataFrame, flattener: Flattener | None = None, loss_role
     return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("parts").cast(f"array<{PART}>")).mapInArrow(run, SEGMENT)
 
 
-def conversations_text(segments: DataFrame) -> DataFrame:
-    """conv_id and the formatted text of the whole conversation (its turns in order)."""
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "segment")))
-    return segments.groupBy("conv_id").agg(F.concat_ws("", F.transform(ordered, lambda s: s["segment"])).alias("formatted"))
-
-
-def read_back(segments: DataFrame, media_as_text: bool = False) -> DataFrame:
+def read_back(segments: DataFrame) -> DataFrame:
     """Parses formatted segments again and digests each conversation: what was said, and what lies under the loss mask.
 
     Segments come sorted by conversation and turn, and the digests are fed turn by turn, so memory does not depend on how

@@ -47,3 +47,14 @@ def test_empty_long_and_tied_turns(spark):
     back = {r.conv_id: r for r in chat_parts.read_back(chat_parts.format_turns(parts)).collect()}
     assert back[1].loss_sha256 == hashlib.sha256(b"ab").hexdigest() and back[2].loss_chars == 300_000
     assert chat_parts.read_back(chat_parts.format_turns(parts.filter(F.lit(False)))).collect() == []
+
+
+def test_roles_of_any_text_read_back(spark):
+    roles = ["us\ner", "a\\", "\n", "<|end|>\n<|turn|>x", "", "\\\n"]
+    turns = spark.createDataFrame([(k, 0, role, "said\n" + role) for k, role in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    made = chat_parts.format_turns(turns.select("conv_id", "turn", "role", chat_parts.text_parts().alias("parts")))
+    for r in made.collect():
+        role, content = chat_parts._SEGMENT.fullmatch(r.segment).groups()
+        assert chat_parts.unescape(role) == roles[r.conv_id] and chat_parts.unescape(content) == "said\n" + roles[r.conv_id]
+    for r in chat_parts.read_back(made).collect():
+        assert r.turns_sha256 == hashlib.sha256(f"{roles[r.conv_id]}\nsaid\n{roles[r.conv_id]}\n".encode()).hexdigest()
