@@ -5,8 +5,8 @@ is a versioned mask over those bits, so applying another policy, or asking what
 rules, needs the ledger alone and never the texts again.
 
 Defined results: a null text counts as empty (no words: the ``short`` rule fails); repeated rows get one ledger row
-each; an empty table gives an empty ledger; the columns of the input named in ``keep`` pass through unchanged, any other
-column is left out, so clashing names cannot occur.
+each; an empty table gives an empty ledger; the columns of the input named in ``keep`` pass through unchanged and must not
+be named like a measurement, any other column is left out; ``filter_documents`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,5 +102,6 @@ def ablations(entries: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULE
 
 def filter_documents(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with all their columns; texts are read once and never shuffled."""
-    entries = apply_policy(ledger(docs, rules, tuple(docs.columns), text), policy, rules)
-    return entries.filter("kept").select(*docs.columns)
+    own = [f"_{k}_" for k in range(len(docs.columns))]  # any of them may be named like a measurement
+    entries = apply_policy(ledger(docs.toDF(*own), rules, tuple(own), own[docs.columns.index(text)]), policy, rules)
+    return entries.filter("kept").select(*own).toDF(*docs.columns)

@@ -55,3 +55,13 @@ def test_filter_keeps_columns_and_takes_empty_tables(spark):
     df = spark.createDataFrame([(1, "word number seven and more " * 3, "a"), (2, None, "b")], "doc_id long, text string, lang string")
     assert rule_ledger.filter_documents(df, rule_ledger.POLICIES["v2"]).columns == df.columns
     assert rule_ledger.ledger(df.limit(0)).collect() == []
+
+
+def test_filter_with_clashing_columns(spark):
+    """Every measurement, the bits and the verdict are also names of columns, which come out as they went in."""
+    names = ["doc_id", "text", *rule_ledger.MEASURES, "fail_bits", "kept", "policy_version", "_text", "_0_"]
+    good = " ".join(f"word{k}x" for k in range(80))
+    rows = [(1, good, *["a"] * (len(names) - 2)), (1, good, *["b"] * (len(names) - 2)), (2, "short", *["c"] * (len(names) - 2)), (None, None, *[None] * (len(names) - 2))]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    kept = rule_ledger.filter_documents(df, rule_ledger.POLICIES["v2"])
+    assert kept.schema == df.schema and sorted(map(tuple, kept.collect())) == rows[:2]
