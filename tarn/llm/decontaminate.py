@@ -18,7 +18,8 @@ Words: runs outside ASCII white space, lower-cased, without non-alphanumeric cha
 
 Defined results: null texts and texts without words match nothing; items without words are never found; repeated documents
 and repeated items each give their own rows; an empty table on either side gives no rows; an item of one part (fewer than
-two words) counts as question and answer alike.
+two words) counts as question and answer alike; keys are of any type, and an item key named like the document key comes out
+as ``item_<name>``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarn.llm.storage import stored
 from tarn.llm.textarrays import slices, text_of, word_keys, words_of
@@ -294,7 +296,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """One row for each document and test item it contains: key, item key, passage_start (in words), score,
     question_overlap and answer_overlap."""
     params = params or Params()
-    item_type = items.schema[item_key]
+    kind = items.schema[item_key].dataType
+    item_type = T.StructField(item_key if item_key != key else f"item_{item_key}", kind)
+    item_kind = to_arrow_type(kind)
     numbers = [T.StructField("passage_start", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in ("score", "question_overlap", "answer_overlap"))]
     schema = T.StructType([docs.schema[key], item_type, *numbers])
     source = docs.select(key, F.col(text).alias("_text"))
@@ -304,25 +308,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         shared = context.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            kind = None
             for part in slices(batches, "_text"):
                 rows = list(_hits(part["_text"], shared.value))
-                kind = kind or _arrow(item_type.dataType)
                 if rows:
                     r, item, start, *shares = zip(*rows, strict=True)
                     keys = [shared.value.keys[i] for i in item]
-                    yield pa.RecordBatch.from_arrays([part[key].take(pa.array(r)), pa.array(keys, kind), pa.array(start, pa.int64()), *(pa.array(s, pa.float64()) for s in shares)], schema.names)
+                    yield pa.RecordBatch.from_arrays([part[0].take(pa.array(r)), pa.array(keys, item_kind), pa.array(start, pa.int64()), *(pa.array(s, pa.float64()) for s in shares)], schema.names)
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", params: Params | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, with all columns, whatever their names or keys.
 
+    A row is judged where it is read: nothing is shuffled, and each block of items filters what the one before it left.
+    """
+    params, at = params or Params(), docs.columns.index(text)
+    context, left = docs.sparkSession.sparkContext, docs
+    for index in _indexes(items, item_key, item_text, params):
+        shared = context.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, at):
+                clean = np.ones(len(part), bool)
+                clean[[hit[0] for hit in _hits(part[at], shared.value)]] = False
+                yield part.filter(pa.array(clean))
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None) -> DataFrame:
-    """The documents in which no test item was found, with all columns.  Rows with a null key stay."""
-    leaks = find_leaks(docs, items, key, text, params=params).select(key).distinct()
-    return docs.join(leaks, key, "left_anti")
+        left = left.mapInArrow(run, docs.schema)
+    return left
