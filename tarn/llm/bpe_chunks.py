@@ -20,7 +20,7 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,7 @@ class Codec:
     ranks is given, else the tokenizers library itself.
     """
 
-    def __init__(self, path: str, ranks: str | None = None) -> None:
+    def __init__(self, path: str, ranks: str | None = None, memo_bytes: int = MEMO_BYTES) -> None:
         spec = json.load(open(path, encoding="utf-8"))
         bytes_of = {c: b for b, c in byte_alphabet().items()}
         added = {a["content"]: a["id"] for a in spec["added_tokens"]}
@@ -85,8 +85,10 @@ class Codec:
         self.decimal = np.zeros((len(self.table), 7), np.uint8)
         for i in range(len(self.table)):
             self.decimal[i, : len(str(i)) + 1] = list(b"%d," % i)
-        self.memo: dict[bytes, np.ndarray] = {}
-        self.memo_bytes = self.reused = self.encoded = 0
+        self.young: dict[bytes, np.ndarray] = {}  # chunks met since the last change of generations
+        self.old: dict[bytes, np.ndarray] = {}
+        self.memo_bytes = memo_bytes
+        self.young_bytes = self.reused = self.encoded = 0
         if ranks:
             import tiktoken
 
@@ -101,18 +103,25 @@ class Codec:
             self.encode_piece = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def chunk(self, data: bytes) -> np.ndarray:
+        """The chunk's ids, from the memo where it is there.  Half of the memo's bytes are for the young generation; when they
+        are used up it becomes the old one, so a chunk that is met again stays and one that is not goes."""
         key = hashlib.blake2b(data, digest_size=16).digest()
-        found = self.memo.get(key)
+        found = self.young.get(key)
+        if found is not None:
+            self.reused += 1
+            return found
+        found = self.old.get(key)
         if found is None:
             found = self.encode_piece(data.decode("utf-8"))
             self.encoded += 1
-            if self.memo_bytes > MEMO_BYTES:
-                self.memo.clear()
-                self.memo_bytes = 0
-            self.memo[key] = found
-            self.memo_bytes += found.nbytes + 120
         else:
             self.reused += 1
+        size = found.nbytes + 120
+        if self.young_bytes + size > self.memo_bytes // 2:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+        if size <= self.memo_bytes // 2:
+            self.young[key] = found
+            self.young_bytes += size
         return found
 
     def encode(self, text: str) -> np.ndarray:
@@ -123,12 +132,19 @@ class Codec:
         if len(ends) == 1:
             return self.chunk(data)
         begins = [0, *ends[:-1]]
+        met: dict[int, np.ndarray] = {}  # a chunk is looked up once, by its own turn or by the repair of the join before it
+
+        def chunk_ids(k: int) -> np.ndarray:
+            if k not in met:
+                met[k] = self.chunk(data[begins[k] : ends[k]])
+            return met[k]
+
         done: list[np.ndarray] = []
         done_to = 0  # tokens in ``done`` cover data[:done_to], a safe place
         for k, (begin, end) in enumerate(zip(begins, ends, strict=True)):
             if end <= done_to:
                 continue
-            ids = self.chunk(data[begin:end])
+            ids = chunk_ids(k)
             edges = begin + np.cumsum(self.lengths[ids])
             if done_to > begin:  # a repair has reached into this chunk
                 at = int(np.searchsorted(edges, done_to))
@@ -142,7 +158,8 @@ class Codec:
                 break
             left, kept = self._left_border(data, edges, done_to, end)
             done.append(ids[:kept])
-            right = self._right_border(data, end, ends, k + 1)
+            right = self._right_border(data, begins, ends, k + 1, chunk_ids)
+            met.pop(k, None)
             done.append(self.encode_piece(data[left:right].decode("utf-8")))
             done_to = right
         return np.concatenate(done)
@@ -160,18 +177,17 @@ class Codec:
                 return floor, 0
             width *= 4
 
-    def _right_border(self, data: bytes, begin: int, ends: list[int], k: int) -> int:
+    def _right_border(self, data: bytes, begins: list[int], ends: list[int], k: int, chunk_ids: Callable[[int], np.ndarray]) -> int:
         """The first safe place after the join where the next chunk's tokens have a border; past it, those of later ones."""
         for at_chunk in range(k, len(ends)):
-            end = ends[at_chunk]
+            begin, end = begins[at_chunk], ends[at_chunk]
             edges = None
             for m in _SAFE.finditer(data, begin, end):
                 if edges is None:
-                    edges = begin + np.cumsum(self.lengths[self.chunk(data[begin:end])])
+                    edges = begin + np.cumsum(self.lengths[chunk_ids(at_chunk)])
                 at = int(np.searchsorted(edges, m.start()))
                 if m.start() > begin and at < len(edges) and edges[at] == m.start():
                     return m.start()
-            begin = end
         return len(data)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -51,6 +51,33 @@ def test_equal_passages_are_encoded_once(byte_library):
     assert own.reused > own.encoded / 2
 
 
+def test_reuse_counts_chunks_of_other_documents_only():
+    """A passage in two documents, at different places, is encoded for the first of them; a text's own chunks are no reuse,
+    and without a memo there is none."""
+    words = lambda seed, n: " ".join("".join(random.Random(f"{seed}-{k}").choices("abcdefgh", k=6)) for k in range(n))
+    passage, one, two = words(1, 6000), words(2, 900) + " ", words(3, 700) + " "
+    chunks = len(bpe_chunks.cuts(np.frombuffer(passage.encode(), np.uint8)))
+    own, without = bpe_chunks.Codec(BYTE, RANKS), bpe_chunks.Codec(BYTE, RANKS, memo_bytes=0)
+    for codec in (own, without):
+        codec.encode(one + passage)
+        assert codec.reused == 0
+        codec.encode(two + passage)
+    assert own.reused >= chunks - 3 and without.reused == 0
+    assert own.reused + own.encoded == without.encoded
+
+
+def test_chunks_that_are_met_again_stay_in_the_memo():
+    own = bpe_chunks.Codec(BYTE, RANKS, memo_bytes=40_000)
+    texts = [f"text {k} " * 20 for k in range(600)]
+    for k, text in enumerate(texts):
+        own.encode(text)
+        before = own.reused
+        if k % 5 == 0:
+            own.encode(texts[0])
+            assert own.reused == before + 1
+    assert own.young_bytes <= 20_000 and len(own.young) + len(own.old) < 300
+
+
 def test_bpe_query_against_the_library(spark, byte_library):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op2_bpe_chunk_reuse(spark, SF).collect()
