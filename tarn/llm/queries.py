@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe_chunks, chat_parts, decontaminate, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, secret_cnn, token_files, toxicity_segments
+from tarn.llm.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    entries = stored(rule_ledger.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), "rule-ledger")
     base = rule_ledger.BASE.mask(rule_ledger.RULES)
     judged = rule_ledger.apply_policy(entries, rule_ledger.POLICIES["v2"])
     failed = F.col("fail_bits").bitwiseAND(F.lit(base)) != 0
@@ -61,8 +62,9 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = secret_cnn.train(secret_cnn.made_findings())
-    return secret_cnn.scan(table(spark, sf_dir, "documents"), net).drop("found")
+    docs = table(spark, sf_dir, "documents")
+    net = secret_cnn.train(secret_cnn.labelled_findings(docs) + secret_cnn.made_findings())
+    return secret_cnn.scan(docs, net).drop("found")
 
 
 def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:

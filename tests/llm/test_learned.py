@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -82,12 +83,60 @@ def test_base_spans_against_brute_force(spark):
         assert secret_cnn.joined(secret_cnn.base_spans(text)) == ",".join(brute_spans(text))
 
 
-def test_network_on_fresh_findings():
-    net = secret_cnn.train(secret_cnn.made_findings())
+@pytest.fixture(scope="module")
+def network():
+    return secret_cnn.train(secret_cnn.made_findings())
+
+
+def test_network_on_fresh_findings(network):
     fresh = secret_cnn.made_findings(600, seed=99)
-    scores = net.score(np.stack([secret_cnn.window(t, a, b) for t, a, b, _ in fresh]))
-    truth = np.array([y for *_, y in fresh])
-    assert (scores[truth == 1] >= net.threshold).mean() > 0.9 and (scores[truth == 0] < net.threshold).mean() > 0.9
+    scores = network.score([f[:3] for f in fresh])
+    truth = np.array([f.label for f in fresh])
+    assert (scores[truth == 1] >= network.threshold).mean() > 0.9 and (scores[truth == 0] < network.threshold).mean() > 0.97
+
+
+def test_network_on_documents_left_out(spark):
+    """Trained on documents outside the fold, the network finds what the patterns find in those inside it, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    findings = secret_cnn.labelled_findings(docs)
+    net = secret_cnn.train(findings + secret_cnn.made_findings())
+    rows = secret_cnn.scan(docs, net, keep=("doc_id", "text")).filter("n_candidates > 0").collect()
+    texts = {r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert sum(f.label for f in findings) > 50 and all(any(f.text in t for t in texts) for f in findings if f.label)
+    fold = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    base = [s for r in fold for s in r.found if s.kind != "cnn"]
+    right, added = sum(s.score >= net.threshold for s in base), sum(r.n_added for r in fold)
+    assert sum(r.n_candidates for r in fold) > 5000 and len(base) > 50
+    assert right >= 0.98 * len(base) and right >= 0.98 * (right + added)
+
+
+def test_convolution_by_tables_is_the_convolution(network):
+    codes, _ = secret_cnn.windows([f[:3] for f in secret_cnn.made_findings(300, seed=5)])
+    z = network.forward(network.inputs(codes))[0]
+    assert np.allclose(network.scores(codes), 1 / (1 + np.exp(-np.clip(network.slope * z + network.shift, -30, 30))), atol=1e-4)
+
+
+def test_candidates_of_any_length(network):
+    """Each window of a long candidate counts; values shorter than a run are candidates; a wider token widens a pattern's span."""
+    own = "q8Zk2LxV0pR7tYw3Bn5Mc9Hd1Gf6Js4Qa8Zk2LxV0pR7tYw3Bn5Mc9Hd1Gf6Js4"
+    long = "a" * 10_000 + own + "b" * 10_000
+    assert len(secret_cnn.windows([(long, 0, len(long))])[0]) == -(-len(long) // 64)
+    assert network.score([(long, 0, len(long))])[0] > 0.9
+    found, of_base = secret_cnn.candidates("pwd token=abcdef9 and", secret_cnn.base_matches("pwd token=abcdef9 and"))
+    assert found == [(10, 17)] and of_base == [[0]]
+    hexed = "0a1b2c3d4e5f60718293a4b5"
+    (scan,) = secret_cnn.scans([f"key ghp_{hexed}XyZ9QrTUw end"], network)
+    assert scan.base == [(8, 32, "hex")] and scan.spans == [(4, 41, "cnn"), (8, 32, "hex")] and scan.candidates == 1
+    assert secret_cnn.scans([None, ""], network) == [secret_cnn.Scan([], [], [], 0)] * 2
+    many = " ".join([hexed] * 20_000)
+    assert len(secret_cnn.scans([many], network)[0].spans) == 20_000
+
+
+def test_findings_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert secret_cnn.labelled_findings(docs) == []
+    nulls = spark.createDataFrame([(None, None), (None, "token=abcdef99")] * 2, "doc_id long, text string")
+    assert {f.label for f in secret_cnn.labelled_findings(nulls)} == {1}
 
 
 def test_redaction_and_defined_scans(spark):
