@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secret_cnn.redact(docs, secret_cnn.train(secret_cnn.made_findings()))
+    return secret_cnn.redact(docs, secret_cnn.train(secret_cnn.labelled_findings(docs) + secret_cnn.made_findings()))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
