@@ -6,7 +6,7 @@ posterior probability that its similarity reaches the threshold falls below a to
 whole shingle sets (64-bit hashes).  A link is lost only by chance: a pair exactly at the threshold shares no band with a
 probability of 2.9e-7, and the posterior drops it at one of its looks with 1.1e-5 (``Params.missed``).
 
-A band bucket is never gathered in one place: it is dealt into chunks of bounded size and every pair of chunks is a unit
+A band bucket is never gathered in one place: it is dealt into chunks of bounded rows and bytes and every pair of chunks is a unit
 of work, so a bucket that holds a large part of all rows spreads over the cluster.  A unit returns, for each of its
 documents, how many links it found and the smallest document it is connected to there, not the pairs; so rows stay linear
 in what came in.  A pair that shares several bands is counted in the first of them, and of buckets with the same members
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.components import components
+from tarn.llm.components import components, hub_join
 from tarn.llm.storage import stored
 from tarn.llm.textarrays import Text, slices, text_of, word_keys, words_of
 
@@ -47,7 +47,8 @@ class Params:
     rows: int = 3
     tolerance: float = 1e-6
     step: int = 8  # MinHash values compared between two looks at the posterior
-    chunk: int = 512  # documents in a chunk of a bucket
+    chunk: int = 512  # documents in a chunk of a bucket, in the mean
+    chunk_bytes: int = 16 << 20  # of shingle hashes in a chunk, in the mean
     seed: int = 11
 
     @property
@@ -145,7 +146,8 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sketched(source: DataFrame, params: Params) -> DataFrame:
-    """One row per document: ``_id``, the digest of its text (null where it has no words) and its band keys."""
+    """One row per document: ``_id``, the digest of its text (null where it has no words), its band keys and how many shingles
+    it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text", 1 << 20):
@@ -153,9 +155,9 @@ def sketched(source: DataFrame, params: Params) -> DataFrame:
             keys = band_keys(minhashes(hashes, first, params), params)
             digest = pa.array([d if n else None for d, n in zip(part["digest"].to_pylist(), np.diff(first), strict=True)], pa.binary())
             offsets = pa.array(np.arange(0, keys.size + 1, params.bands), pa.int32())
-            yield pa.RecordBatch.from_arrays([part["_id"], digest, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], ["_id", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([part["_id"], digest, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), pa.array(np.diff(first), pa.int64())], ["_id", "digest", "keys", "size"])
 
-    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, digest binary, keys array<long>")
+    return source.mapInArrow(run, f"_id {source.schema['_id'].dataType.simpleString()}, digest binary, keys array<long>, size long")
 
 
 def _loaded(texts: DataFrame, params: Params) -> DataFrame:
@@ -271,45 +273,64 @@ def _worked(units: DataFrame, params: Params) -> DataFrame:
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None) -> DataFrame:
     """One row per document: key, ``text_id`` (least key among equal texts), ``class_id`` (least key among all texts that
     links connect it to) and ``n_links`` (different texts whose similarity to it reaches the threshold)."""
-    return _joined(docs, key, text, params or Params()).drop("digest")
+    rows = _joined(docs, key, text, params or Params())
+    own = F.coalesce("text_id", "_id")
+    return rows.select(F.col("_id").alias(key), own.alias("text_id"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def _joined(docs: DataFrame, key: str, text: str, params: Params) -> DataFrame:
-    """The rows of ``jaccard_join`` with ``digest``, the text's (null where it has no words)."""
+    """One row per document: ``_id`` (its key), ``digest`` of its text (null where it has no words), ``text_id``, and where the
+    text has links ``n_links``, ``class_id`` and ``first`` (the digest of the class's first text: that of the least key)."""
     source = _source(docs, key, text)
     sketch = stored(sketched(source, params), "sketch")
-    texts = stored(sketch.filter("digest is not null").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("keys").alias("keys")), "texts")
-    banded = texts.select("digest", "_id", F.explode("keys").alias("bucket"))
+    texts = sketch.filter("digest is not null").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    texts = stored(texts, "texts")
+    n_texts = texts.count()
+    banded = texts.select("digest", "_id", "size", F.explode("keys").alias("bucket"))
     band = F.col("bucket").bitwiseAND(F.lit((1 << (params.bands - 1).bit_length()) - 1))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")).filter("n > 1")
-    buckets = buckets.groupBy("n", "x", "y").agg(F.min_by("bucket", F.struct(band, "bucket")).alias("bucket")).select("bucket", "n")
-    members = stored(banded.join(buckets, "bucket"), "members")
+    buckets = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")).filter("n > 1")
+    buckets = buckets.groupBy("n", "size", "x", "y").agg(F.min_by("bucket", F.struct(band, "bucket")).alias("bucket"))
+    chunks = F.greatest(F.ceil(F.col("n") / params.chunk), F.ceil(F.col("size") * 8 / params.chunk_bytes)).cast("int")
+    members = stored(hub_join(banded.select("digest", "_id", "bucket"), buckets.select("bucket", "n", chunks.alias("chunks")), "bucket", n_texts * params.bands), "members")
     wanted = members.select("digest", F.col("_id").alias("_wanted")).distinct()
     hashed = wanted.hint("shuffle_hash")  # the ids of members are hashed, so the texts need not be sorted
     found = source.join(hashed, (source["digest"] == hashed["digest"]) & source["_id"].eqNullSafe(hashed["_wanted"]), "left_semi")
-    chunks = F.ceil(F.col("n") / params.chunk).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    units = members.select("digest", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("digest"), chunks).cast("int").alias("side"))
+    units = members.select("digest", "bucket", "chunks", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("side"))
     units = units.select("digest", "bucket", "side", other).select("digest", "bucket", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
     dealt = units.join(_loaded(found, params), "digest").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "digest")
     links = stored(_worked(dealt, params), "links")
     degree = links.groupBy("digest").agg(F.sum("degree").alias("n_links"))
     linked = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "digest")
-    named = linked.join(texts.select("digest", "_id"), "digest")
-    least = named.groupBy("component").agg(F.min("_id").alias("class_id"))
-    named = named.join(least, "component").select("digest", "class_id").join(degree, "digest")
-    classes = texts.select("digest", F.col("_id").alias("text_id")).join(named, "digest", "left")
-    rows = sketch.select("_id", "digest").join(classes, "digest", "left")
-    own = F.coalesce("text_id", "_id")
-    return rows.select(F.col("_id").alias(key), own.alias("text_id"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest")
+    named = stored(linked.join(texts.select("digest", "_id"), "digest"), "named")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "digest")).alias("m"), F.count("*").alias("n"))
+    least = least.select("component", "n", F.col("m._id").alias("class_id"), F.col("m.digest").alias("first"))
+    classed = hub_join(named.select("digest", "component"), least, "component", named.count()).select("digest", "class_id", "first").join(degree, "digest")
+    classes = stored(texts.select("digest", F.col("_id").alias("text_id"), F.col("copies").alias("n")).join(classed, "digest", "left"), "classes")
+    with_words = hub_join(sketch.filter("digest is not null").select("_id", "digest"), classes, "digest", sketch.count())
+    columns = ["_id", "digest", "text_id", "class_id", "first", "n_links"]
+    none = sketch.filter("digest is null").select("_id", "digest", *(F.lit(None).cast(classes.schema[c].dataType).alias(c) for c in columns[2:]))
+    return with_words.select(*columns).unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", params: Params | None = None) -> DataFrame:
-    """The rows of ``docs`` with the least key of each class; all columns stay.  Rows without a key stay.
+    """One row of ``docs`` for each class, that of the least key, with all columns.
 
-    Rows are told apart by key and text, so of a key with several texts only those that are copies go.  What goes may be
-    much, so both sides are dealt by key; it is hashed, and the texts need not be sorted.
+    A class's first row has its least key (a null key comes last) and, of several texts with that key, the least digest.
+    Rows are told apart by key and text, so of a key with several texts only those that are copies go; of rows equal in both
+    any one stays.  Rows whose text has no words all stay.  What goes may be much, so both sides are dealt by key and text;
+    it is hashed, and the texts need not be sorted.
     """
-    joined = _joined(docs, key, text, params or Params())
-    gone = joined.filter(F.col(key) != F.col("class_id")).select(F.col(key).alias("_key"), F.col("digest").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), (docs[key] == gone["_key"]) & (_digest(text) == gone["_gone"]), "left_anti")
+    rows = _joined(docs, key, text, params or Params())
+    stays = F.col("digest").eqNullSafe(F.coalesce("first", "digest")) & F.col("_id").eqNullSafe(F.when(F.col("first").isNull(), F.col("text_id")).otherwise(F.col("class_id")))
+    judged = stored(rows.filter("digest is not null").groupBy("_id", "digest", stays.alias("stays")).agg(F.count("*").alias("n")), "verdicts")
+    own = docs.withColumns({"_tarn_key": F.col(key), "_tarn_digest": _digest(text)})
+
+    def some(of: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
+        hashed = verdicts.select("_id", F.col("digest").alias("_gone")).hint("shuffle_hash")
+        return of.join(hashed, of["_tarn_key"].eqNullSafe(hashed["_id"]) & (of["_tarn_digest"] == hashed["_gone"]), how)
+
+    left, repeated = some(own, judged.filter("not stays"), "left_anti"), judged.filter("stays and n > 1")
+    if not repeated.isEmpty():
+        left = some(left, repeated, "left_anti").unionByName(some(left, repeated, "left_semi").dropDuplicates(["_tarn_key", "_tarn_digest"]))
+    return left.drop("_tarn_key", "_tarn_digest")

@@ -5,9 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tarn.llm import jaccard_join
-from tarn.llm.components import components
+from tarn.llm.components import components, hub_join
 
 FIXTURE = "/root/testdata/sf0.001/documents.parquet"
 
@@ -117,4 +118,40 @@ def test_pairs_at_the_threshold_share_a_band():
 def test_a_key_with_a_copy_and_another_text_keeps_the_other(spark):
     rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (6, "u v w x y z"), (None, "a b c d e f"), (7, None)]
     left = jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", "a b c d e f"), ("5", "u v w x y z"), ("7", ""), ("None", "a b c d e f")]
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", "a b c d e f"), ("5", "u v w x y z"), ("7", "")]
+
+
+def test_rows_not_keys_are_dropped(spark):
+    """A key with two texts, equal rows, rows without a key, and columns named like the operator's own."""
+    one = [f"w{k}" for k in range(60)]
+    near, other = " ".join([*one[:-1], "new"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(3, " ".join(one), 1), (5, other, 2), (5, near, 3), (9, "lone text", 4), (9, "lone text", 4), (None, other, 5), (None, "words of no key", 6), (None, "words of no key", 6), (None, None, 7), (8, "", 8), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest int").withColumn("_id", F.lit("x"))
+    left = jaccard_join.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted(r.digest for r in left.collect()) == [1, 2, 4, 6, 7, 8, 8]
+    assert jaccard_join.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_drop_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(FIXTURE).collect()]
+    classes, _ = brute(rows)
+    left = {r.doc_id for r in jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {k for k, t in rows if classes.get(t, k) == k}
+
+
+def test_units_are_bounded_by_bytes_too(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(1000)]
+    rows = [(k, " ".join([*base[:k], f"new{k}", *base[k:]])) for k in range(12)]
+    check(spark, rows, jaccard_join.Params(chunk_bytes=20_000))
+
+
+def test_hubs_are_joined_without_their_key(spark):
+    """Rows of a key with more than its share are not dealt by that key."""
+    left = spark.range(5000).selectExpr("if(id % 3 = 0, -1, id) as k", "id as x")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    joined = hub_join(left, right, "k", 5000)
+    assert joined.count() == 5000 and joined.filter("k = -1").select("n").distinct().collect()[0].n == 1667
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1000) for k in range(1, 400)]
+    assert set(dict(components(spark.createDataFrame(edges, "a long, b long")).collect()).values()) == {0}
