@@ -1,14 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Fitting: tokens of a bounded sample of labelled documents are counted by label.  Each token's log-odds between toxic and
-clean documents is taken under a symmetric Dirichlet prior, so rare tokens stay near zero and tokens never seen in clean
-text stay finite.  Tokens without a significant log-odds take that of their first five letters, or else score as an
-average clean token.  Scores are shifted so that clean text drifts
-down, as segment statistics require.
+Fitting: tokens of a bounded sample of labelled documents are counted by label.  Every token that is in enough of its
+documents has a log-odds between toxic and clean ones, under a Dirichlet prior in proportion to how common the token is, so
+rare tokens stay near zero and tokens never seen in clean text stay finite.  Rarer tokens take that of their first five
+letters where these are common enough, else zero.  All scores are shifted so that clean text drifts down, as segment
+statistics require.
 
 Scoring: a linear scan finds all maximal scoring segments of a text (those that no longer or shorter neighbour improves).
 By extreme-value theory the number of segments of clean text that reach score S in n tokens is about K n exp(-lambda S);
-lambda solves sum p_i exp(lambda s_i) = 1 over clean tokens, K is estimated from clean sample documents.  Segments whose
+lambda solves sum p_i exp(lambda s_i) = 1 over the scores of clean tokens, K is estimated from clean sample documents.  Segments whose
 expected number is below a level are the significant passages.  A document's evidence, minus the logarithm of the
 best segment's p-value and of the pooled ones, is turned into a probability by a logistic curve fitted on the sample.
 
@@ -21,7 +21,7 @@ an empty table gives no rows; without toxic sample rows every score is the share
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +41,15 @@ STEM = 5
 @dataclass
 class Model:
     weights: dict[str, float]
-    other: float
+    shift: float  # added to every token's score
     rate: float = 1.0  # lambda
     scale: float = 0.1  # K
     curve: tuple[float, ...] = (0.0, 0.0, -3.0)
     level: float = 0.01
-    _memo: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def expected(self, score: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """How many segments of clean text of so many tokens reach the score."""
-        return self.scale * np.maximum(tokens, 1) * np.exp(-self.rate * score)
+    def log_expected(self, score: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Logarithm of how many segments of clean text of so many tokens reach the score."""
+        return np.log(self.scale * np.maximum(tokens, 1)) - self.rate * np.asarray(score, np.float64)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -84,8 +83,8 @@ def stem(token: str) -> str:
 
 
 def _weights(model: Model, vocab: pa.Array) -> np.ndarray:
-    keys, known, other = word_keys(vocab), model.weights, model.other
-    found = ((known.get(k) or known.get(stem(k), other)) if k else 0.0 for k in keys)
+    keys, known, shift = word_keys(vocab), model.weights, model.shift
+    found = ((known[k] if k in known else known.get(stem(k), 0.0)) + shift if k else 0.0 for k in keys)
     return np.fromiter(found, np.float64, len(keys))
 
 
@@ -103,11 +102,13 @@ def evidence(column: pa.Array, model: Model) -> np.ndarray:
     out = np.zeros((len(column), 2))
     for row, (n, found) in enumerate(passages(column, model)):
         if found:
-            score = np.array([s for _, _, s in found])
-            expected = model.expected(score, np.full(len(score), n))
-            out[row, 0] = -np.log(-np.expm1(-max(expected.min(), 1e-300)) + 1e-300)
-            out[row, 1] = np.log(model.level / np.maximum(1e-300, expected[expected < model.level])).sum()
-    return np.minimum(out, [60.0, 200.0])
+            log_e = model.log_expected(np.array([s for _, _, s in found]), np.full(len(found), n))
+            best = float(log_e.min())
+            # p = 1 - exp(-E), which is E where E is small
+            out[row, 0] = -best if best < -20 else -np.log(-np.expm1(-np.exp(best)))
+            over = np.log(model.level) - log_e
+            out[row, 1] = over[over > 0].sum()
+    return out
 
 
 def _design(found: np.ndarray) -> np.ndarray:
@@ -139,9 +140,8 @@ def one_of_each(sample: DataFrame) -> DataFrame:
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
-    """token, in how many toxic and in how many clean documents it is, and how often it is in clean ones; summed per slice
-    before the shuffle."""
-    names = ("toxic", "clean", "clean_uses")
+    """token, and in how many toxic and in how many clean documents it is; summed per slice before the shuffle."""
+    names = ("toxic", "clean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
@@ -156,42 +156,52 @@ def token_counts(sample: DataFrame) -> DataFrame:
                 codes, size = codes[words.codes], len(vocab)
                 pairs = np.unique(row.astype(np.int64) * size + codes)
                 by = [np.bincount((pairs % size)[toxic[pairs // size] == side], minlength=size) for side in (True, False)]
-                uses = np.bincount(codes[~toxic[row]], minlength=size)
-                yield pa.RecordBatch.from_arrays([vocab, *(pa.array(v, pa.int64()) for v in (*by, uses))], ["token", *names])
+                yield pa.RecordBatch.from_arrays([vocab, *(pa.array(v, pa.int64()) for v in by)], ["token", *names])
 
-    counted = sample.select("_text", "_label").mapInArrow(run, "token string, toxic long, clean long, clean_uses long")
+    counted = sample.select("_text", "_label").mapInArrow(run, "token string, toxic long, clean long")
     return counted.filter("token <> ''").groupBy("token").agg(*(F.sum(c).alias(c) for c in names))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, vocabulary: int = 5_000, prior: float = 1.0, least_docs: int = 5, significance: float = 4.0, key: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = 20_000, prior: float = 5_000.0, least_docs: int = 5, drift: float = 1.0, key: str = "doc_id", text: str = "text") -> Model:
     """Fits on at most ``rows`` labelled documents outside the held-out fold.
 
-    Counts stay in Spark; only tokens that are significantly toxic come to the driver, ``vocabulary`` of them at most (those
-    with the largest z), and a few numbers for each sample document.
+    Counts are made in Spark; the log-odds of tokens in ``least_docs`` sample documents or more come to the driver, as many as
+    the sample has, and a few numbers for each sample document.  ``prior`` is the prior's mass for a label, in uses of tokens
+    counted once a document; ``drift`` is what a clean token loses in the mean.
     """
     sample = stored(training_rows(docs, labels, label, rows, key, text), "toxicity-sample")
     counts = token_counts(one_of_each(sample))
     counts = stored(counts, "toxicity-counts")
-    total = counts.filter(~F.col("token").endswith("*")).agg(*(F.sum(c).alias(c) for c in ("toxic", "clean", "clean_uses"))).first()
-    toxic, clean, uses = (float(v or 0) for v in total)
+    total = counts.filter(~F.col("token").endswith("*")).agg(*(F.sum(c).alias(c) for c in ("toxic", "clean"))).first()
+    toxic, clean = (float(v or 0) for v in total)
     share = sample.agg(F.avg("_label")).first()[0]
     share = 0.5 if share is None else float(share)
     if not toxic or not clean:
         return Model({}, -1.0, curve=(0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6)))))
-    side = lambda n, all_n: F.log((F.col(n) + prior) / (F.lit(all_n) + prior - F.col(n)))
-    error = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    scored = counts.withColumn("w", side("toxic", toxic) - side("clean", clean)).withColumn("z", F.col("w") / error)
-    chosen = scored.filter((F.col("z") > significance) & (F.col("toxic") >= least_docs)).orderBy(F.desc("z"), "token").limit(vocabulary).toPandas()
-    weights = dict(zip(chosen["token"], chosen["w"].clip(upper=8.0), strict=True))
-    # A clean token's mean score must be negative: other tokens pay for the share of weighted ones, and half a unit more.
-    clean_share = (chosen["clean_uses"].to_numpy(np.float64) + 0.5) / (uses + 1.0)
-    weight = np.array([weights[t] for t in chosen["token"]])
-    other = -0.5 - float((clean_share * weight).sum())
-    model = Model(weights, other)
-    model.rate = _decay(np.append(clean_share, max(1e-9, 1 - clean_share.sum())), np.append(weight, other))
+    mass = F.lit(prior) * (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    side = lambda n, all_n: F.log((F.col(n) + mass) / (F.lit(all_n + prior) - F.col(n) - mass))
+    chosen = counts.filter(F.col("toxic") + F.col("clean") >= least_docs).select("token", (side("toxic", toxic) - side("clean", clean)).alias("w")).toPandas()
+    model = Model(dict(zip(chosen["token"], chosen["w"], strict=True)), 0.0)
+    scores = clean_scores(sample, model).toPandas().sort_values("score")
+    p, s = scores["n"].to_numpy(np.float64) / scores["n"].sum(), scores["score"].to_numpy()
+    model.shift = -drift - float((p * s).sum())
+    model.rate = _decay(p, s + model.shift)
     return _calibrated(model, sample)
 
 
+def clean_scores(sample: DataFrame, model: Model) -> DataFrame:
+    """(score, n): how many tokens of the clean sample documents have each score, to two decimals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text"):
+            words = words_of(text_of(part["_text"]))
+            if len(words.codes):
+                score, n = np.unique(np.round(_weights(model, words.vocab), 2)[words.codes], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(n, pa.int64())], ["score", "n"])
+
+    return sample.filter("_label = 0").select("_text").mapInArrow(run, "score double, n long").groupBy("score").agg(F.sum("n").alias("n"))
+
+
 def _decay(p: np.ndarray, s: np.ndarray) -> float:
     """The positive lambda with sum p exp(lambda s) = 1, by bisection."""
     low, high = 1e-6, 20.0
@@ -246,7 +256,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for part in slices(batches, "_text"):
             kept = []
             for n, found in passages(part["_text"], model):
-                spans = [(b, e, s, float(model.expected(np.array(s), np.array(n)))) for b, e, s in found]
+                spans = [(b, e, s, float(np.exp(model.log_expected(s, n)))) for b, e, s in found]
                 kept.append([dict(zip(("first_word", "end_word", "score", "expected"), x, strict=True)) for x in spans if x[3] < model.level])
             scores = probability(evidence(part["_text"], model), model)
             yield pa.RecordBatch.from_arrays([part[key], pa.array(scores), pa.array(kept, arrow)], [key, "score", "passages"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
 
@@ -48,6 +49,62 @@ def test_maximal_segments_against_their_definition(scores):
     assert {(b, e) for b, e, _ in toxicity_segments.maximal_segments(np.array(scores, float))} == maximal
 
 
+def test_lambda_and_k_follow_the_law_of_random_text():
+    """On random clean text the share of texts whose best segment reaches a score is 1 - exp(-K n exp(-lambda score))."""
+    rng = np.random.default_rng(3)
+    p, s = np.array([0.1, 0.2, 0.7]), np.array([2.0, 0.5, -1.0])
+    rate = toxicity_segments._decay(p, s)
+    assert (p * np.exp(rate * s)).sum() == pytest.approx(1, abs=1e-9) and rate > 0
+    n = 400
+    best = np.array([max(x for *_, x in toxicity_segments.maximal_segments(rng.choice(s, n, p=p))) for _ in range(1500)])
+    model = toxicity_segments.Model({}, 0.0, rate=rate, scale=1.0)
+    level = float(np.median(best))
+    model.scale = -np.log1p(-(best >= level).mean()) / np.exp(model.log_expected(level, n))
+    for high in (level + 3, level + 6):
+        assert (best >= high).mean() == pytest.approx(1 - np.exp(-np.exp(model.log_expected(high, n))), abs=0.05)
+
+
+def test_scores_against_a_plain_version(spark):
+    """Log-odds, segments, evidence and probability of every document, word by word."""
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity_segments.train(docs, labels)
+    known = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(model.weights) > 1000 and min(model.weights.values()) < 0 < max(model.weights.values())
+    bare = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity_segments.score(docs, model).collect():
+        words = [bare(w) for w in re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id])]
+        own = [0.0 if not w else model.shift + model.weights.get(w, model.weights.get(w[:5] + "*", 0.0) if len(w) > 5 else 0.0) for w in words]
+        segments = toxicity_segments.maximal_segments(np.array(own))
+        a, b, spans = 0.0, 0.0, []
+        for begin, end, x in segments:
+            expected = model.scale * len(words) * math.exp(-model.rate * x)
+            a = max(a, -math.log(-math.expm1(-expected)) if expected > 1e-8 else -math.log(model.scale * len(words)) + model.rate * x)
+            if expected < model.level:
+                b += math.log(model.level) - math.log(model.scale * len(words)) + model.rate * x
+                spans.append((begin, end))
+        z = model.curve[0] * a + model.curve[1] * math.log1p(b) + model.curve[2]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+        assert [(s.first_word, s.end_word) for s in r.passages] == spans
+    assert sum(known.values()) > 10
+
+
+def test_walk_of_flat_trees_is_the_plain_walk():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(600, 15)), rng.integers(0, 2, 600)
+    forest = quality_gbt.fit(x, y, trees=12)
+    fresh = rng.normal(size=(200, 15))
+    bins = forest.binned(fresh)
+    for row, margin in zip(bins, forest.margin(fresh), strict=True):
+        total, inner = forest.base, forest.feature.shape[1]
+        for tree in range(len(forest.leaf)):
+            node = 0
+            while node < inner:
+                node = 2 * node + (2 if row[forest.feature[tree, node]] > forest.border[tree, node] else 1)
+            total += forest.leaf[tree, node - inner]
+        assert margin == pytest.approx(total)
+
+
 def test_trees_split_what_they_are_shown():
     rng = np.random.default_rng(0)
     x = rng.random((2000, len(quality_gbt.FEATURES)))
