@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from tarn.llm.textarrays import SPACE, Text, Words, lines_of, words_of
+from tarn.llm.textarrays import BLANKS, Text, Words, lines_of, marking, words_of
 
-SYMBOL = np.zeros(256, bool)
-SYMBOL[list(b"#*$%&|<>")] = True
-UPPER, LOWER, DIGIT, STOP = (np.zeros(256, bool) for _ in range(4))
-UPPER[65:91] = LOWER[97:123] = DIGIT[48:58] = True
-STOP[list(b".!?")] = True
+SYMBOL, STOP = marking([*b"#*$%&|<>"]), marking([*b".!?"])
+UPPER, LOWER, DIGIT = marking([*range(65, 91)]), marking([*range(97, 123)]), marking([*range(48, 58)])
+LEAD = marking([b for b in range(256) if b & 0xC0 != 0x80])  # the first byte of each character
+IN_WORDS = marking([b for b in range(256) if b & 0xC0 != 0x80 and b not in BLANKS])
+WIDE = marking([b for b in range(0xC0, 256)])
 
 
 def repeated_words(words: Words) -> np.ndarray:
@@ -52,9 +52,8 @@ def repeated_lines(text: Text) -> tuple[np.ndarray, np.ndarray]:
 
 def measures(text: Text) -> dict[str, np.ndarray]:
     """The counts that quality rules and the quality classifier are built on; one array entry per row."""
-    data = text.data
     words = words_of(text)
-    lead = (data & 0xC0) != 0x80
+    count = lambda table: text.per_row(text.marked(table))
     lines, dup = repeated_lines(text)
     length = np.fromiter(map(len, words.vocab.to_pylist()), np.int64, len(words.vocab))
     row = words.rows()
@@ -63,17 +62,17 @@ def measures(text: Text) -> dict[str, np.ndarray]:
     seen = np.unique(row.astype(np.int64) * max(1, len(length)) + words.codes) // max(1, len(length)) if len(row) else row
     return {
         "n_words": n_words,
-        "word_chars": text.per_row(lead & ~SPACE[data]),
-        "n_symbols": text.per_row(SYMBOL[data]),
+        "word_chars": count(IN_WORDS),
+        "n_symbols": count(SYMBOL),
         "n_dup_lines": dup,
         "n_repeat_words": repeated_words(words),
         "n_lines": lines,
-        "n_code_points": text.per_row(lead),
-        "n_upper": text.per_row(UPPER[data]),
-        "n_lower": text.per_row(LOWER[data]),
-        "n_digits": text.per_row(DIGIT[data]),
-        "n_stops": text.per_row(STOP[data]),
-        "n_wide": text.per_row(lead & (data >= 0x80)),
+        "n_code_points": count(LEAD),
+        "n_upper": count(UPPER),
+        "n_lower": count(LOWER),
+        "n_digits": count(DIGIT),
+        "n_stops": count(STOP),
+        "n_wide": count(WIDE),
         "n_distinct": np.bincount(seen, minlength=rows),
         "n_long_words": np.bincount(row[length[words.codes] > 20], minlength=rows) if len(row) else np.zeros(rows, np.int64),
     }

@@ -13,11 +13,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 BLANKS = [0x20, *range(0x09, 0x0E)]
-SPACE = np.zeros(256, bool)
-SPACE[BLANKS] = True
+
+
+def marking(characters: list[int]) -> bytes:
+    """A table for ``Text.marked``."""
+    return bytes(b in set(characters) for b in range(256))
+
+
+SOLID = marking([b for b in range(256) if b not in BLANKS])
 
 
 class Text(NamedTuple):
@@ -26,11 +32,15 @@ class Text(NamedTuple):
     data: np.ndarray
     offsets: np.ndarray
 
+    def marked(self, table: bytes) -> np.ndarray:
+        """Which bytes the table marks."""
+        return np.frombuffer(self.data.tobytes().translate(table), bool)
+
     def per_row(self, mask: np.ndarray) -> np.ndarray:
         """How many marked bytes each row has."""
-        total = np.zeros(len(mask) + 1, np.int64)
+        total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
         np.cumsum(mask, out=total[1:])
-        return total[self.offsets[1:]] - total[self.offsets[:-1]]
+        return (total[self.offsets[1:]] - total[self.offsets[:-1]]).astype(np.int64)
 
 
 class Words(NamedTuple):
@@ -80,7 +90,7 @@ def encoded(array: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def words_of(text: Text) -> Words:
     data, offsets = text
-    solid = ~SPACE[data]
+    solid = text.marked(SOLID)
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -88,7 +98,8 @@ def words_of(text: Text) -> Words:
     begin[inner] = solid[inner]
     end[inner - 1] = solid[inner - 1]
     at = np.flatnonzero(begin)
-    codes, vocab = encoded(pieces(data[solid], np.flatnonzero(end) + 1 - at))
+    body = np.frombuffer(data.tobytes().translate(None, bytes(BLANKS)), np.uint8)
+    codes, vocab = encoded(pieces(body, np.flatnonzero(end) + 1 - at))
     return Words(codes, np.searchsorted(at, offsets), vocab)
 
 
@@ -107,8 +118,8 @@ def lines_of(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.empty(len(begins), np.int64)
     ends[:-1] = begins[1:] - 1
     ends[last] = offsets[1:][row_of[last]]
-    codes, _ = encoded(pieces(data[~feed], ends - begins))
-    solid = np.concatenate([[0], np.cumsum(~SPACE[data])])
+    codes, _ = encoded(pieces(np.frombuffer(data.tobytes().translate(None, b"\n"), np.uint8), ends - begins))
+    solid = np.concatenate([[0], np.cumsum(text.marked(SOLID), dtype=np.int32)])
     return row_of, codes, solid[ends] - solid[begins]
 
 
