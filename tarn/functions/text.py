@@ -181,3 +181,46 @@ def valid_orcid(c: Column) -> Column:
 
 def valid_email(c: Column) -> Column:
     return c.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$")
+
+
+def parsed_date(text: Column) -> Column:
+    """A date written as ``2024-01-31``, ``January 31, 2024`` or ``31 January 2024``; null for anything else."""
+    plain = F.trim(text)
+    formats = ("yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy")
+    return F.coalesce(*(F.to_date(F.try_to_timestamp(plain, F.lit(f))) for f in formats))
+
+
+def parsed_year(text: Column) -> Column:
+    """The first four digits in a row, where they are a year from 1600 to 2100."""
+    year = F.regexp_extract(text, r"(\d{4})", 1).try_cast("int")
+    return F.when(year.between(1600, 2100), year)
+
+
+def place_name(raw: Column) -> Column:
+    """A place's name to compare by: lower case, without leading articles and ``near``, closing country or state, and signs."""
+    low = F.trim(F.lower(raw))
+    bare = F.regexp_replace(F.regexp_replace(low, r"^(the|near|upper part of) ", ""), r",\s*(usa|u\.s\.a\.|united states|[a-z]{2})$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
+
+
+def camel(snake: Column) -> Column:
+    """snake_case to camelCase."""
+    words = F.split(snake, "_")
+    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.concat(F.get(words, F.lit(0)), F.array_join(F.transform(rest, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), ""))
+
+
+def embedding_text(title: Column, abstract: Column, body: Column, words: int = 500, most: int = 32_000) -> Column:
+    """Title and abstract, or title and the first words of the body, cut to a length."""
+    start = F.array_join(F.slice(F.split(flattened(body), " "), F.lit(1), F.lit(words)), " ")
+    return F.left(F.concat(title, F.lit(". "), F.coalesce(abstract, start)), F.lit(most))
+
+
+def keywords(text: Column) -> Column:
+    """The non-empty parts between commas and semicolons."""
+    return F.filter(F.transform(F.split(text, "[,;]"), lambda p: F.trim(p)), lambda w: w != "")
+
+
+def flattened(text: Column) -> Column:
+    """One line: white space of any kind is single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

@@ -12,10 +12,9 @@ PIPELINE, CURATED, PULL, PUSH = "pipeline", "curated", "pull", "push"
 def merge_field(local: Column, remote: Column, kind: str, direction: str) -> Column:
     """Pipeline fields follow the local side, curated ones the remote side, each only where it has a value; on a push the
     value of a pipeline field is the local one, on a pull a curated one is the remote one."""
-    first, second = (local, remote) if kind == PIPELINE else (remote, local)
-    if kind == CURATED and direction == PUSH:
-        first, second = remote, local
-    return F.coalesce(first, second)
+    if direction not in (PULL, PUSH):
+        raise ValueError(f"unknown direction: {direction}")
+    return F.coalesce(local, remote) if kind == PIPELINE else F.coalesce(remote, local)
 
 
 def merge_record(local: Column, remote: Column, field: str, kind: str, direction: str, local_marks: Column, remote_marks: Column) -> Column:
@@ -51,6 +50,13 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, rules: dict[str, Col
     return both.select(key, *(v.alias(c) for c, v in merged.items()))
 
 
+def longest(column: str) -> Column:
+    """A rule for ``upsert``: the longer of the two values, the old one where they are equally long; nulls count as nothing."""
+    old, new = F.col(f"old_{column}"), F.col(f"new_{column}")
+    size = lambda c: F.coalesce(F.length(c), F.lit(-1))
+    return F.when(size(new) > size(old), new).otherwise(old)
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The rows to append: those whose key the target lacks, one for each key."""
     return rows.dropDuplicates(key).join(target.select(*key), key, "left_anti")
@@ -104,3 +110,42 @@ def stratified(df: DataFrame, stratum: str, total: int, key: str, least: int = 2
     quota = sizes.withColumn("_quota", F.greatest(F.lit(least), F.floor(F.lit(total) * F.col("_n") / all_rows)))
     rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key))
     return df.withColumn("_rn", rank).join(F.broadcast(quota.select(stratum, "_quota")), stratum).filter("_rn <= _quota").drop("_rn", "_quota")
+
+
+def united_marks(local: Column, remote: Column) -> Column:
+    """What both sides assert by hand, sorted."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(local, none), F.coalesce(remote, none)))
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two values are the same, nested ones by their parts; two nulls are."""
+    return a.eqNullSafe(b)
+
+
+def same_moment(at: Column, text: Column) -> Column:
+    """Whether a time and a written time are the same moment, however it is written."""
+    return F.coalesce(F.unix_micros(at.cast("timestamp")) == F.unix_micros(F.try_to_timestamp(text)), at.isNull() & text.isNull())
+
+
+def orphans(target: DataFrame, source: DataFrame, key: str, deletable: Column) -> DataFrame:
+    """The rows of the target that the source no longer has and that may go."""
+    return target.filter(deletable).join(source.select(key).distinct(), key, "left_anti")
+
+
+def updated(old: DataFrame, new: DataFrame, key: str, enriched: list[str]) -> DataFrame:
+    """The new rows, with the enriched fields of the old rows of the same key."""
+    return new.join(old.select(key, *enriched), key, "left")
+
+
+def verified(refs: DataFrame, known: DataFrame, target: str, key: str) -> DataFrame:
+    """Adds ``verdict``: valid where the target is known, invalid where it is not, none where there is no target."""
+    have = known.select(F.col(key).alias(target), F.lit(True).alias("_known")).distinct()
+    joined = refs.join(have, target, "left")
+    return joined.withColumn("verdict", F.when(F.col(target).isNull(), "none").when(F.col("_known"), "valid").otherwise("invalid")).drop("_known")
+
+
+def zipped_rows(batches: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Parallel arrays (one row a batch) as rows; ``columns`` names the column that each array becomes."""
+    zipped = batches.select(F.explode(F.arrays_zip(*columns)).alias("z"))
+    return zipped.select(*(F.col("z")[a].alias(c) for a, c in columns.items()))

@@ -45,13 +45,13 @@ def flt07(t: Tables) -> DataFrame:
     return t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey", "s_name")
 
 
-@query("flt08_null_safe", """SELECT a.source_item, b.source_item AS other FROM references_cited a JOIN references_cited b
-    ON a.target_item IS NOT DISTINCT FROM b.target_item AND a.source_item = b.source_item""")
+@query("flt08_null_safe", """WITH n AS (SELECT source_item, target_item, CASE WHEN source_item % 3 = 0 THEN NULL ELSE target_item END AS other FROM references_cited)
+    SELECT source_item, target_item IS NOT DISTINCT FROM other AS same FROM n WHERE target_item IS NOT DISTINCT FROM other OR source_item % 2 = 0""")
 def flt08(t: Tables) -> DataFrame:
-    refs = t.references_cited()
-    a, b = refs.alias("a"), refs.alias("b")
-    both = F.col("a.target_item").eqNullSafe(F.col("b.target_item")) & (F.col("a.source_item") == F.col("b.source_item"))
-    return a.join(b, both).select("a.source_item", F.col("b.source_item").alias("other"))
+    """Two nulls are the same, a null and a value are not."""
+    other = F.when(F.col("source_item") % 3 != 0, F.col("target_item"))
+    same = F.col("target_item").eqNullSafe(other)
+    return t.references_cited().filter(same | (F.col("source_item") % 2 == 0)).select("source_item", same.alias("same"))
 
 
 @query("flt09_quantile_filter", """WITH q AS (SELECT quantile_cont(cites, 0.25) AS low, quantile_cont(cites, 0.75) AS high FROM items)

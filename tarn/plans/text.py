@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions import names
 from tarn.functions import text as X
 from tarn.operators import resolve, search, sync, vectors
 from tarn.plans.registry import query
@@ -36,13 +35,6 @@ def str20(t: Tables) -> DataFrame:
     return t.items().select("item_id", X.slug(F.col("title")).alias("slug"))
 
 
-@query("str21_licence", """SELECT doc_id, CASE WHEN contains(lower(text), 'apache') THEN 'Apache-2.0' WHEN contains(lower(text), 'mit license') THEN 'MIT'
-    WHEN contains(lower(text), 'cc-by') OR contains(lower(text), 'cc by') THEN 'CC-BY' ELSE 'none' END AS licence FROM documents""")
-def str21(t: Tables) -> DataFrame:
-    rules = (("apache", "Apache-2.0"), ("mit license", "MIT"), ("cc-by", "CC-BY"), ("cc by", "CC-BY"))
-    return t("documents").select("doc_id", X.first_rule(F.col("text"), rules, "none").alias("licence"))
-
-
 @query("str28_trigram", r"""WITH g AS (SELECT p_partkey, list_distinct(flatten(list_transform(string_split(p_name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', CAST(i AS INTEGER), 3))))) AS x,
     list_distinct(flatten(list_transform(string_split(lower(p_type), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', CAST(i AS INTEGER), 3))))) AS y FROM part)
     SELECT p_partkey, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM g""")
@@ -65,11 +57,6 @@ def str40(t: Tables) -> DataFrame:
     return t("documents").filter(F.lower("text").contains("trash")).select("doc_id", search.snippet(F.col("text"), ["trash"]).alias("snippet"))
 
 
-@query("str14_author_key", "SELECT s_suppkey, regexp_replace(lower(s_name), '[.,''\"]', '', 'g') || '|' || left(lower(s_name), 1) AS key FROM supplier")
-def str14(t: Tables) -> DataFrame:
-    return t("supplier").select("s_suppkey", names.author_key(F.col("s_name"), F.col("s_name")).alias("key"))
-
-
 @query("map01_json_path", "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")
 def map01(t: Tables) -> DataFrame:
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
@@ -115,21 +102,13 @@ def vec05(t: Tables) -> DataFrame:
     return vectors.greedy_clusters(t("embeddings"), "label", 0.3)
 
 
-@query("joi17_similar_titles", f"""WITH w AS (SELECT page_id AS id, list_distinct(string_split({NORMAL.format('substring(html, 1, 400)')}, ' ')) AS x FROM pages)
-    SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id
-    WHERE len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) > 0.4""")
-def joi17(t: Tables) -> DataFrame:
-    sets = t("pages").select(F.col("page_id").alias("id"), X.title_words(F.col("html").substr(1, 400)).alias("tokens"))
-    return resolve.set_similarity_join(sets, sets, 0.4).filter("left_id < right_id").withColumn("similarity", F.round("similarity", 6))
-
-
 TITLE = "(?is)<title[^>]*>(.*?)</title>"
 
 
-@query("joi17_similar_titles_whole", f"""WITH w AS (SELECT page_id AS id, list_filter(list_distinct(string_split({NORMAL.format(f"regexp_extract(html, '{TITLE}', 1)")}, ' ')), lambda w: w <> '') AS x FROM pages)
+@query("joi17_similar_titles", f"""WITH w AS (SELECT page_id AS id, list_filter(list_distinct(string_split({NORMAL.format(f"regexp_extract(html, '{TITLE}', 1)")}, ' ')), lambda w: w <> '') AS x FROM pages)
     SELECT a.id AS left_id, b.id AS right_id, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS similarity FROM w a JOIN w b ON a.id < b.id
     WHERE len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))) > 0.4""")
-def joi17_whole(t: Tables) -> DataFrame:
+def joi17(t: Tables) -> DataFrame:
     """The whole title element of every page, wherever it stands and however long it is."""
     sets = t("pages").select(F.col("page_id").alias("id"), X.title_words(F.regexp_extract("html", TITLE, 1)).alias("tokens"))
     return resolve.set_similarity_join(sets, sets, 0.4).filter("left_id < right_id").withColumn("similarity", F.round("similarity", 6))
@@ -162,23 +141,17 @@ def syn03(t: Tables) -> DataFrame:
     return t("customer").select("c_custkey", name.alias("name"), segment.alias("segment"))
 
 
-@query("snk04_upsert", """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN greatest(c_name, c_mktsegment || ' longer name here') WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment || ' longer name here' END AS name
-    FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+@query("snk04_upsert", """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN CASE WHEN length(c_mktsegment || ' name') > length(c_name) THEN c_mktsegment || ' name' ELSE c_name END WHEN c_custkey % 2 = 0 THEN c_name
+    ELSE c_mktsegment || ' name' END AS name, CASE WHEN c_custkey % 2 = 0 AND c_acctbal > 0 THEN c_acctbal WHEN c_custkey % 3 = 0 THEN 1.5 END AS balance FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
 def snk04(t: Tables) -> DataFrame:
     c = t("customer")
-    target = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    updates = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" longer name here")).alias("name"))
-    return sync.upsert(target, updates, "id", {"name": F.greatest("old_name", "new_name")})
+    target = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
+    updates = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" name")).alias("name"), F.lit(1.5).alias("balance"))
+    return sync.upsert(target, updates, "id", {"name": sync.longest("name"), "balance": F.coalesce("old_balance", "new_balance")})
 
 
-@query("snk05_insert_if_absent", "SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20)")
+@query("snk05_insert_if_absent", "SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def snk05(t: Tables) -> DataFrame:
-    have = t("supplier").filter("s_suppkey <= 20").select(F.col("s_nationkey").alias("id"))
-    return sync.insert_if_absent(have, t("customer").select(F.col("c_nationkey").alias("id")), ["id"])
-
-
-@query("snk05_insert_if_absent_whole", "SELECT DISTINCT c_nationkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
-def snk05_whole(t: Tables) -> DataFrame:
     """The existing rows are the nations of suppliers in debt, whatever their ids."""
     have = t("supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("id"))
     return sync.insert_if_absent(have, t("customer").select(F.col("c_nationkey").alias("id")), ["id"])

@@ -11,5 +11,5 @@ def test_titles_after_a_long_head(spark, tmp_path):
     titles = ["red green blue fish", "red green blue bird", "one two three four", long, long + " end", ""]
     rows = [(k, f"http://h/{k}", f"{head}<TITLE lang='en'>{t}</TITLE></head><body>same words on every page</body></html>") for k, t in enumerate(titles)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {(r.left_id, r.right_id): r.similarity for r in QUERIES["joi17_similar_titles_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.left_id, r.right_id): r.similarity for r in QUERIES["joi17_similar_titles"](spark, str(tmp_path)).collect()}
     assert got == {(0, 1): 0.6, (3, 4): round(200 / 201, 6)}
