@@ -40,10 +40,10 @@ def test_duplicates_within_a_day(spark, tmp_path):
 
 
 def test_windows_are_final_behind_the_watermark(spark, tmp_path):
-    stream = events(spark, tmp_path / "in", [[("a", 0, 1), ("a", 30, 1), ("b", 59, 1)], [("a", 200, 1)], [("a", 10, 1), ("a", 400, 1)]])
+    stream = events(spark, tmp_path / "in", [[("a", 0, 1), ("a", 30, 1), ("b", 59, 1)], [("a", 200, 1)], [("c", 210, 1)], [("a", 10, 1), ("a", 400, 1)]])
     out = limits.drained(limits.counted_stream(stream, "who", "at", "1 minute", "30 seconds"), str(tmp_path / "checkpoint"), "counted")
     got = {(r.who, int((r.window.start - START).total_seconds())): r.n for r in out.collect()}
-    assert got == {("a", 0): 2, ("b", 0): 1, ("a", 180): 1}  # the late event at 10 is not counted
+    assert got == {("a", 0): 2, ("b", 0): 1, ("a", 180): 1, ("c", 180): 1}  # the late event at 10 is not counted
 
 
 def test_resume_goes_on_behind_the_last_whole_batch(spark, tmp_path):
