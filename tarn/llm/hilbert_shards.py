@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tarn.llm.storage import stored
 
 GROUP_ROWS = 50_000
-LEAST_GROUPS = 64
+LEAST_GROUPS = 512
 ADDED = ("curve_index", "shard", "slot")
 
 
