@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.operators.storage import checkpoints
 
-def _dir(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
+HUB = 2_000  # members of an item from which its pairs are spread over several tasks
 
 
 def co_occurring(mentions: DataFrame, entity_type: str, entity_id: int, target_type: str) -> DataFrame:
@@ -26,14 +24,31 @@ def pair_counts(members: DataFrame, item: list[str], node: str, at_least: int =
     """Unordered pairs of nodes (a < b) with the number of items that both are in.
 
     Members are made distinct first, so that repeats do not multiply.  Items with more than ``most`` members can be left out
-    by the caller's choice; nothing is left out by default.
+    by the caller's choice; nothing is left out by default.  The members of an item with more than HUB are dealt into chunks,
+    and every pair of chunks is worked on its own, so that no task has all pairs of one item.
     """
     own = members.select(*item, F.col(node).alias("_n")).filter("_n is not null").distinct()
     if most is not None:
         small = own.groupBy(*item).agg(F.count("*").alias("_m")).filter(F.col("_m") <= most).drop("_m")
         own = own.join(small, item, "left_semi")
-    a, b = own.withColumnRenamed("_n", "a"), own.withColumnRenamed("_n", "b")
-    return a.join(b, item).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= at_least)
+    sides = lambda df: (df.withColumnRenamed("_n", "a"), df.withColumnRenamed("_n", "b"))
+    sizes = own.groupBy(*item).agg(F.count("*").alias("_m")).filter(F.col("_m") > HUB)
+    if sizes.isEmpty():
+        a, b = sides(own)
+        pairs = a.join(b, item).filter("a < b").select("a", "b")
+    else:
+        a, b = sides(own.join(sizes, item, "left_anti"))
+        pairs = a.join(b, item).filter("a < b").select("a", "b").unionByName(_hub_pairs(own.join(sizes, item), item))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= at_least)
+
+
+def _hub_pairs(members: DataFrame, item: list[str]) -> DataFrame:
+    """All pairs (a < b) of the members ``_n`` of large items (``_m`` members)."""
+    chunks = F.ceil(F.col("_m") / HUB).cast("int")
+    dealt = members.withColumn("_c", F.pmod(F.xxhash64("_n"), chunks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    left = dealt.select(*item, F.col("_c").alias("_x"), F.col("_o").alias("_y"), F.col("_n").alias("a"))
+    right = dealt.select(*item, F.col("_o").alias("_x"), F.col("_c").alias("_y"), F.col("_n").alias("b"))
+    return left.join(right, [*item, "_x", "_y"]).filter("a < b").select("a", "b")
 
 
 def undirected(edges: DataFrame, order: list[Column], a: str = "a", b: str = "b") -> DataFrame:
@@ -51,37 +66,45 @@ def node_size(degree: Column, base: float = 2.0, factor: float = 3.0) -> Column:
     return F.lit(base) + F.log(degree + 1) * factor
 
 
-def peel(edges: DataFrame, least: int, a: str = "a", b: str = "b", most: int = 100) -> DataFrame:
+def peel(edges: DataFrame, least: int, a: str = "a", b: str = "b") -> DataFrame:
     """The edges left when nodes of smaller degree are removed until none remains (k-core).
 
     One shuffle for degrees and two semi-joins a round; lineage is cut by a checkpoint in each.
     """
-    _dir(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     left = edges.checkpoint()
     n = left.count()
-    for _ in range(most):
+    while True:
         kept = degrees(left, a, b).filter(F.col("degree") >= least).select("node")
         left = left.join(kept.withColumnRenamed("node", a), a, "left_semi").join(kept.withColumnRenamed("node", b), b, "left_semi").checkpoint()
         now = left.count()
         if now == n:
             return left
         n = now
-    raise RuntimeError("peeling did not end")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5, a: str = "a", b: str = "b", weight: str = "weight") -> DataFrame:
-    """(node, community): every node repeatedly takes the label with most weight around it (ties: the least label).
+def label_propagation(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", most: int = 200) -> DataFrame:
+    """(node, community): every node takes the label with most weight around it (ties: the least label), until no
+    label changes.
 
-    Deterministic and distributed, in place of a sequential modularity search.
+    Deterministic and distributed, in place of a sequential modularity search.  Nodes of even and of odd hash take turns, so
+    that two neighbours do not swap labels for ever; after ``most`` rounds without an end it is an error.
     """
-    _dir(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("near"), F.col(weight).alias("w"))
     both = both.unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("near"), F.col(weight).alias("w"))).checkpoint()
     labels = both.select("node").distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    still = 0
+    for k in range(most):
         votes = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node", "community").agg(F.sum("w").alias("w"))
-        labels = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("community")).checkpoint()
-    return labels
+        best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
+        moved = labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (turn & (F.col("best") != F.col("community"))).alias("moved")).checkpoint()
+        labels = moved.select("node", "community")
+        still = 0 if moved.filter("moved").limit(1).count() else still + 1
+        if still == 2:
+            return labels
+    raise RuntimeError("labels did not come to rest")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, a: str = "a", b: str = "b", weight: str = "weight") -> DataFrame:
@@ -94,13 +117,49 @@ def modularity(edges: DataFrame, labels: DataFrame, a: str = "a", b: str = "b",
     return joined.agg(F.sum(F.coalesce("inside", F.lit(0)) / F.col("m") - F.pow(F.col("ends") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def community_summary(labels: DataFrame, names: DataFrame, least: int = 3, top: int = 8) -> DataFrame:
-    """Per community of enough members its size and the names of its members of highest degree."""
+def community_summary(labels: DataFrame, names: DataFrame, least: int = 3, top: int = 8, per_type: int = 3) -> DataFrame:
+    """Per community of enough members its size, how many members each type has (a map), the names of its members of highest
+    degree, and the names of the first ``per_type`` of each type, types in order.  ``names``: node, type, name, degree."""
     members = labels.join(names, "node")
-    rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc("degree"), "node"))
-    size = members.groupBy("community").agg(F.count("*").alias("members")).filter(F.col("members") >= least)
-    head = members.withColumn("rn", rank).filter(F.col("rn") <= top).groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "name"))), lambda s: s["name"]), ", ").alias("label"))
-    return size.join(head, "community")
+    order = [F.desc("degree"), F.col("node")]
+    listed = lambda df, by, name: df.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*by, "name"))), lambda s: s["name"]), ", ").alias(name))
+    counts = members.groupBy("community", "type").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("community").agg(F.sum("n").alias("members"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("type_counts")).filter(F.col("members") >= least)
+    head = members.withColumn("rn", F.row_number().over(W.partitionBy("community").orderBy(*order))).filter(F.col("rn") <= top)
+    typed = members.withColumn("rn", F.row_number().over(W.partitionBy("community", "type").orderBy(*order))).filter(F.col("rn") <= per_type)
+    return sizes.join(listed(head, ["rn"], "label"), "community").join(listed(typed, ["type", "rn"], "diverse"), "community")
+
+
+def with_communities(nodes: DataFrame, labels: DataFrame, node: str) -> DataFrame:
+    """Nodes of a second graph with the communities of the first; nodes it does not have get -1."""
+    own = labels.select(F.col("node").alias(node), "community")
+    return nodes.join(own, node, "left").withColumn("community", F.coalesce("community", F.lit(-1)))
+
+
+def class_weighted(edges: DataFrame, a: str, b: str, weight: str = "weight", same: float = 0.5, cross: float = 2.0) -> DataFrame:
+    """Edges with their weight times a factor: less between nodes of one class (columns ``a`` and ``b``), more across."""
+    return edges.withColumn(weight, F.col(weight) * F.when(F.col(a) == F.col(b), same).otherwise(cross))
+
+
+def subgraph(edges: DataFrame, members: DataFrame, joinable: DataFrame, least: int = 2, a: str = "a", b: str = "b") -> tuple[DataFrame, DataFrame]:
+    """The subgraph of the members (node), with those joinable nodes (node) outside that have ``least`` edges into it.
+
+    Edges are counted into the members as given, so the result does not depend on an order of nodes.  Returns nodes and edges.
+    """
+    own = members.select("node").distinct()
+    inside = own.withColumn("_in", F.lit(1))
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("node")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("node")))
+    into = ends.join(inside, "node").groupBy(F.col("x").alias("node")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    outside = into.select("node").join(own, "node", "left_anti").join(joinable.select("node").distinct(), "node", "left_semi")
+    nodes = own.unionByName(outside)
+    kept = edges.join(nodes.withColumnRenamed("node", a), a, "left_semi").join(nodes.withColumnRenamed("node", b), b, "left_semi")
+    return nodes, kept
+
+
+def edge_families(families: dict[str, DataFrame], a: str = "source", b: str = "target") -> DataFrame:
+    """One undirected edge a pair over several families (source, target, weight): that of the first family in order that has it."""
+    tagged = [df.select(F.lit(k).alias("_k"), F.lit(name).alias("family"), a, b, F.col("weight").cast("double").alias("weight")) for k, (name, df) in enumerate(families.items())]
+    return undirected(reduce(DataFrame.unionByName, tagged), [F.col("_k"), F.desc("weight"), F.col(a)], a, b).drop("_k")
 
 
 def citations(refs: DataFrame, item: int) -> DataFrame:

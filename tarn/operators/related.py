@@ -52,3 +52,18 @@ RELATED_SQL = """WITH own AS (SELECT DISTINCT entity_type, entity_id FROM entity
       UNION ALL SELECT target, n, signal, 0.9 FROM c),
     g AS (SELECT target, max(similarity) AS sim, string_agg(DISTINCT signal, '+' ORDER BY signal) AS signals, max(n) AS n, count(DISTINCT signal) AS k FROM u GROUP BY 1)
     SELECT target, round(sim, 6) AS similarity, signals, CAST(g.n AS BIGINT) AS n, round(sim + 0.15 * k, 6) AS score, collection FROM g JOIN items ON item_id = target ORDER BY score DESC, target LIMIT 15"""
+
+
+def composite(signals: list[DataFrame], key: str, least: float) -> DataFrame:
+    """Signals (key, score) summed by key; rows under ``least`` go."""
+    return reduce(DataFrame.unionByName, signals).groupBy(key).agg(F.sum("score").alias("score")).filter(F.col("score") >= least)
+
+
+def eligible(counts: DataFrame, size: int = 30) -> DataFrame:
+    """Groups (size, p publications, d documents, s species, k concepts) with enough content, their score 3 p + 2 d + s + k / 2 and
+    their kind by the share of publications."""
+    score = F.col("p") * 3 + F.col("d") * 2 + F.col("s") + F.col("k") * 0.5
+    ratio = F.col("p") / (F.col("p") + F.col("d") + 1)
+    kind = F.when(ratio > 0.7, "research").when(ratio < 0.3, "policy").otherwise("mixed")
+    enough = (F.col("p") >= 3) | (F.col("d") >= 3) | ((F.col("s") >= 10) & (F.col("k") >= 5))
+    return counts.withColumns({"score": score, "kind": kind}).filter((F.col("size") >= size) & enough & (F.col("score") >= 15))

@@ -103,13 +103,22 @@ def row_counts(stores: dict[str, dict[str, DataFrame]]) -> DataFrame:
     return wide.withColumn("agrees", F.col(a).eqNullSafe(F.col(b)))
 
 
+def quotas(sizes: DataFrame, n: str, total: int, least: int = 2) -> DataFrame:
+    """Adds ``quota``: each stratum's share of ``total`` in proportion to its rows, ``least`` at least and not more than it has;
+    where that is too much in all, every quota is scaled down, to one at least.  All rows where they are no more than total."""
+    every = W.partitionBy()  # one row a stratum
+    rows = F.sum(n).over(every)
+    share = F.greatest(F.lit(least), F.least(F.floor(F.lit(total) * F.col(n) / rows + 0.5), F.col(n)))
+    given = sizes.withColumns({"_share": share.cast("long"), "_rows": rows}).withColumn("_sum", F.sum("_share").over(every))
+    scaled = F.when(F.col("_sum") > total, F.greatest(F.lit(1), F.floor(F.col("_share") * total / F.col("_sum")))).otherwise(F.col("_share"))
+    return given.withColumn("quota", F.when(F.col("_rows") <= total, F.col(n)).otherwise(scaled).cast("long")).drop("_share", "_rows", "_sum")
+
+
 def stratified(df: DataFrame, stratum: str, total: int, key: str, least: int = 2, seed: int = 42) -> DataFrame:
-    """About ``total`` rows, each stratum in proportion and with ``least`` rows at least, chosen by a seeded hash of the key."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    all_rows = F.sum("_n").over(W.partitionBy())  # one row a stratum
-    quota = sizes.withColumn("_quota", F.greatest(F.lit(least), F.floor(F.lit(total) * F.col("_n") / all_rows)))
+    """About ``total`` rows, each stratum by its quota, chosen by a seeded hash of the key."""
+    quota = quotas(df.groupBy(stratum).agg(F.count("*").alias("_n")), "_n", total, least).withColumnRenamed("quota", "_quota")
     rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("_rn", rank).join(F.broadcast(quota.select(stratum, "_quota")), stratum).filter("_rn <= _quota").drop("_rn", "_quota")
+    return df.withColumn("_rn", rank).join(quota.select(stratum, "_quota"), stratum).filter("_rn <= _quota").drop("_rn", "_quota")
 
 
 def united_marks(local: Column, remote: Column) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -57,33 +61,89 @@ def closest_to_centroid(vectors: DataFrame, group: str, k: int = 3, key: str = "
 
     parts = vectors.select(group, F.posexplode(vector).alias("i", "x"))
     mean = parts.groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("m")).groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_c"))
-    scored = vectors.join(F.broadcast(mean), group).withColumn("similarity", F.round(cosine(F.col(vector), F.col("_c")), 6))
+    scored = vectors.join(mean, group).withColumn("similarity", F.round(cosine(F.col(vector), F.col("_c")), 6))
     return top_per_group(scored, [group], [F.desc("similarity"), F.col(key)], k).select(group, key, "similarity", "rn")
 
 
 def greedy_clusters(vectors: DataFrame, group: str, threshold: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Greedy centroid clusters within each group, in key order: a row joins the most similar cluster at or over the
-    threshold and moves its centroid, else opens one.  Sequential by definition, so groups are the unit of parallelism."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        sums: list[np.ndarray] = []
-        out = []
-        for v in pdf[vector]:
-            v = np.asarray(v, np.float64)
-            best, at = -1.0, -1
-            if sums:
-                c = np.stack(sums)
-                s = (c @ v) / (np.linalg.norm(c, axis=1) * np.linalg.norm(v) + 1e-300)
-                at = int(s.argmax())
-                best = float(s[at])
-            if best >= threshold:
-                sums[at] = sums[at] + v
-                out.append(at)
-            else:
-                sums.append(v)
-                out.append(len(sums) - 1)
-        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "cluster": out})
+    """Greedy centroid clusters within each group, in key order: a row joins the most similar cluster at or over the threshold
+    and moves its centroid, else opens one.
 
+    Sequential by definition, so groups are the unit of parallelism.  Rows come sorted and are streamed; a task holds one
+    batch and the centroids of the open group.
+    """
     kinds = dict(vectors.dtypes)
-    return vectors.select(group, key, vector).groupBy(group).applyInPandas(work, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+    ordered = vectors.select(group, key, vector).repartition(group).sortWithinPartitions(group, key)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums, norms = None, np.zeros((0, 0)), np.zeros(0)
+        for batch in batches:
+            out = []
+            for own, v in zip(batch[group], batch[vector], strict=True):
+                v = np.asarray(v, np.float64)
+                if now is None or own != now:
+                    now, sums, norms = own, np.zeros((0, len(v))), np.zeros(0)
+                s = (sums @ v) / (norms * np.linalg.norm(v) + 1e-300)
+                at = int(s.argmax()) if len(s) else -1
+                if at >= 0 and s[at] >= threshold:
+                    sums[at] += v
+                    norms[at] = np.linalg.norm(sums[at])
+                else:
+                    at = len(sums)
+                    sums, norms = np.vstack([sums, v]), np.append(norms, np.linalg.norm(v))
+                out.append(at)
+            yield pd.DataFrame({group: batch[group], key: batch[key], "cluster": out})
+
+    return ordered.mapInPandas(work, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster long")
+
+
+def cluster_sweep(vectors: DataFrame, thresholds: list[float], group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Per threshold: clusters, how many of them are single rows, and the largest (greedy clusters of the whole table)."""
+    whole = vectors.select(F.lit(0).alias("_all"), key, vector)
+    rows = []
+    for t in thresholds:
+        sizes = greedy_clusters(whole, "_all", t, key, vector).groupBy("cluster").agg(F.count("*").alias("n"))
+        rows.append(sizes.agg(F.count("*").alias("clusters"), F.count_if(F.col("n") == 1).alias("singles"), F.max("n").alias("largest")).select(F.lit(t).alias("threshold"), "clusters", "singles", "largest"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, over: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Per query row its k most similar other rows over the limit: (query, key, similarity).  The queries are a set of stated
+    size, cut into blocks that are scored against the table batch by batch; each batch keeps its k best a query, so that
+    little is shuffled."""
+    kind = dict(vectors.dtypes)[key]
+    rows = queries.select(key, vector).collect()  # the stated set of queries
+    ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(rows) else q
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not len(ids):
+                continue
+            x = np.stack(batch[vector].to_numpy()).astype(np.float64)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            own = batch[key].to_numpy()
+            for low in range(0, len(ids), 1024):
+                s = q[low : low + 1024] @ x.T
+                s[ids[low : low + 1024, None] == own[None, :]] = -2
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.reshape(-1)
+                keep = s[i, j] > over
+                yield pd.DataFrame({"query": ids[low + i[keep]], key: own[j[keep]], "similarity": s[i[keep], j[keep]]})
+
+    found = vectors.select(key, vector).mapInPandas(work, f"query {kind}, {key} {kind}, similarity double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), key))
+    return found.withColumn("rn", rank).filter(F.col("rn") <= k)
+
+
+def canonical(members: DataFrame, cluster: str, key: str, similarity: str, details: dict[str, float], year: str, default: int = 2000) -> DataFrame:
+    """Per cluster the member with the best score: 0.35 of its similarity to the centroid, 0.35 of its detail (each column's share
+    of the cluster's largest, at least 1, times its weight) and 0.30 of how recent it is within the cluster; ties: the least
+    key."""
+    over = W.partitionBy(cluster)
+    detail = sum(F.col(c) / F.greatest(F.max(c).over(over), F.lit(1)) * w for c, w in details.items())
+    at = F.coalesce(F.col(year), F.lit(default))
+    span = F.max(at).over(over) - F.min(at).over(over)
+    recent = (at - F.min(at).over(over)) / F.when(span == 0, 1).otherwise(span)
+    scored = members.withColumn("score", F.col(similarity) * 0.35 + detail * 0.35 + recent * 0.30)
+    return scored.groupBy(cluster).agg(F.min_by(key, F.struct(-F.round("score", 9), key)).alias(key), F.max("score").alias("score"))

@@ -158,8 +158,9 @@ def gra09(t: Tables) -> DataFrame:
 @query("gra10_community_summary")
 def gra10(t: Tables) -> DataFrame:
     pairs = part_pairs(t)
-    names = graph.degrees(pairs).join(t("part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name")), "node")
-    return graph.community_summary(graph.label_propagation(pairs), names)
+    names = graph.degrees(pairs).join(t("part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("type"), F.col("p_name").alias("name")), "node")
+    made = graph.community_summary(graph.label_propagation(pairs), names)
+    return made.withColumn("type_counts", F.to_json("type_counts"))
 
 
 @query("rel01_related_works", related.RELATED_SQL)
