@@ -12,6 +12,7 @@ from oracle import FOLDER, connection
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  registers the queries
+from tarn.functions import sections
 from tarn.functions import text as X
 from tarn.operators import graph, search, sync, vectors
 from tarn.plans.registry import QUERIES
@@ -172,3 +173,25 @@ def test_stratified_samples(spark):
         counts = Counter(r.s for r in got.collect())
         assert counts == {s: min(n, sizes[s]) for s, n in (share if total < 1000 else sizes).items()}
         assert sorted(r.k for r in got.collect()) == sorted(r.k for r in sync.stratified(items.repartition(7), "s", total, "k").collect())
+
+
+def test_chunks_end_at_paragraphs(spark):
+    """Windows cover the text, overlap as asked, and end at the last paragraph break in their last two fifths."""
+    texts = ["x" * 2500, "".join(f"{'word ' * 30}\n\n" for _ in range(40)), "", None, "y" * 1000, "a" * 700 + "\n\n" + "b" * 700 + "\n\n" + "c" * 100]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string")
+    for r in df.select("k", sections.paragraph_chunks(1000, 100)(F.col("t")).alias("c"), sections.paragraph_chunks(1000, 100, 2)(F.col("t")).alias("two")).collect():
+        text = texts[r.k]
+        if text is None:
+            assert r.c is None
+            continue
+        want, at = [], 0
+        while True:
+            end = at + 1000
+            if end >= len(text):
+                want.append(text[at:])
+                break
+            breaks = [m.start() for m in re.finditer("(?=\n\n)", text) if at + 600 < m.start() <= end]
+            end = max(breaks, default=end)
+            want.append(text[at:end])
+            at = end - 100
+        assert r.c == want and r.two == want[:2]
