@@ -18,9 +18,14 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, str
     """
     both = left.select("tokens").unionByName(right.select("tokens"))
     frequency = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
+    total = both.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    # tokens with more than a thousandth of all places, so fewer than a thousand, are broadcast and never dealt by themselves
+    common, rest = F.broadcast(frequency.filter(F.col("f") * 1000 > total)), frequency.filter(F.col("f") * 1000 <= total)
 
     def prefixed(df: DataFrame, name: str) -> DataFrame:
-        ordered = df.select("id", F.explode("tokens").alias("token")).join(frequency, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("o"))
+        places = df.select("id", F.explode("tokens").alias("token"))
+        counted = places.join(common, "token").unionByName(places.join(common, "token", "left_anti").join(rest, "token"))
+        ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("o"))
         n = F.size("o")
         head = F.slice("o", F.lit(1), (F.floor(n * (1 - threshold) + 1e-9) + 1).cast("int"))
         return ordered.select(F.col("id").alias(name), n.alias(f"{name}_n"), F.explode(F.transform(head, lambda s: s["token"])).alias("token"))
