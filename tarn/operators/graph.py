@@ -83,26 +83,27 @@ def peel(edges: DataFrame, least: int, a: str = "a", b: str = "b") -> DataFrame:
         n = now
 
 
-def label_propagation(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", most: int = 200) -> DataFrame:
-    """(node, community): every node takes the label with most weight around it (ties: the least label), until no
-    label changes.
+def label_propagation(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", most: int = 500) -> DataFrame:
+    """(node, community): nodes take the label with most weight around them (ties: the least label) while that is more than the
+    weight of their own label, until no node gains by a change.
 
-    Deterministic and distributed, in place of a sequential modularity search.  Nodes of even and of odd hash take turns, so
-    that two neighbours do not swap labels for ever; after ``most`` rounds without an end it is an error.
+    Deterministic and distributed, in place of a sequential modularity search.  In each round the half of the nodes that a hash
+    of node and round picks may change, so that neighbours do not swap labels for ever; after ``most`` rounds without an end
+    it is an error.
     """
     checkpoints(edges.sparkSession)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("near"), F.col(weight).alias("w"))
     both = both.unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("near"), F.col(weight).alias("w"))).checkpoint()
     labels = both.select("node").distinct().withColumn("community", F.col("node"))
-    still = 0
     for k in range(most):
         votes = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        moved = labels.join(best, "node").select("node", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community"), (turn & (F.col("best") != F.col("community"))).alias("moved")).checkpoint()
+        mine = labels.withColumnRenamed("community", "own")
+        wishes = votes.join(mine, "node").groupBy("node", "own").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"), F.max("w").alias("top"), F.max(F.when(F.col("community") == F.col("own"), F.col("w"))).alias("has"))
+        gains = F.col("top") > F.coalesce("has", F.lit(0))
+        turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+        moved = wishes.select("node", F.when(gains & turn, F.col("best")).otherwise(F.col("own")).alias("community"), gains.alias("gains")).checkpoint()
         labels = moved.select("node", "community")
-        still = 0 if moved.filter("moved").limit(1).count() else still + 1
-        if still == 2:
+        if moved.filter("gains").isEmpty():
             return labels
     raise RuntimeError("labels did not come to rest")
 

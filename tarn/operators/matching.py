@@ -12,6 +12,7 @@ from tarn.functions import names
 from tarn.functions import text as X
 from tarn.operators.browse import first_per_group
 from tarn.operators.resolve import set_similarity_join, title_pairs
+from tarn.operators.storage import stored
 
 # A title in an unstructured citation: what follows the year, up to the next full stop or comma.
 ROUGH_TITLE = r"(?:19|20)\d{2}[).,]\s*(.{20,100}?)[.,]"
@@ -61,6 +62,7 @@ def match_by_trigrams(refs: DataFrame, stages: list[tuple[str, DataFrame]], thre
         other = ~F.col("own").eqNullSafe(F.struct(F.lit(name).alias("collection"), F.col("right_id").alias("id")))
         best = dated.filter(near & other).groupBy(F.col("left_id").alias("id")).agg(F.min_by(F.struct("right_id", "similarity"), F.struct(-F.col("similarity"), "right_id")).alias("b"))
         found = best.select("id", F.lit(name).alias("collection"), F.col("b.right_id").alias("target"), F.round("b.similarity", 6).alias("confidence"))
+        found = stored(found, "matched")  # the later stages read it, so it is worked once
         out = found if out is None else out.unionByName(found)
         left = left.join(found.select("id"), "id", "left_anti")
     return out

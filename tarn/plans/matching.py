@@ -33,7 +33,7 @@ def ent01(t: Tables) -> DataFrame:
 @query("ent02_by_trigrams", f"""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'publication' WHEN 1 THEN 'dataset' END AS collection, CASE p_partkey % 3 WHEN 2 THEN NULL ELSE p_partkey END AS target, CASE p_partkey % 3 WHEN 2 THEN NULL ELSE 1.0::DOUBLE END AS confidence FROM part""")
 def ent02(t: Tables) -> DataFrame:
     """The first collection that has the title; a third of the references is only to itself and stays unmatched."""
-    title = F.expr("concat(sha2(cast(p_partkey as string), 256), ' ', p_name)")
+    title = F.expr("concat(left(sha2(cast(p_partkey as string), 256), 8), ' ', left(sha2(cast(-p_partkey as string), 256), 8), ' is a title')")
     rows = t("part").select(F.col("p_partkey").alias("id"), title.alias("title"), F.col("p_size").alias("year"), (F.col("p_partkey") % 3).alias("k"))
     own = F.struct(F.lit("document").alias("collection"), F.col("id"))
     refs = rows.select("id", F.upper("title").alias("title"), "year", own.alias("own"))
