@@ -23,7 +23,7 @@ import numpy as np
 
 HEADER = struct.Struct("<4sHHIIII")  # magic, version, lanes, ids, vocabulary, crc of ids, crc of payload
 MAGIC, VERSION = b"TRC2", 1
-MOST_LANES, LEAST_STEPS, HASH_BITS, GAIN, REFRESH, GUIDE_BITS = 4096, 64, 18, 24, 16, 15
+MOST_LANES, LEAST_STEPS, HASH_BITS, GAIN, REFRESH, GUIDE_BITS = 16384, 64, 18, 24, 16, 15
 _LOW = np.uint64(1 << 32)
 _WORD = np.uint64(32)
 

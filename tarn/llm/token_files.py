@@ -32,7 +32,7 @@ from tarn.llm.bpe_chunks import byte_alphabet
 from tarn.llm.storage import stored
 from tarn.llm.textarrays import BLANKS, Text, slices, text_of
 
-BLOCK_IDS, SHARD_BYTES, MEMO_UNITS, BATCH = 1 << 20, 24 << 20, 700_000, 1000
+BLOCK_IDS, SHARD_BYTES, MEMO_UNITS, BATCH = 1 << 21, 24 << 20, 700_000, 1000
 _OTHERS = re.compile(rb"[!-&(-/:-@\[-`{-~]+")
 
 # The splitter of the word-level vocabulary.
