@@ -162,3 +162,26 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_stages_take_odd_rows_and_none(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns named like the operators' own."""
+    good = " ".join(f"word{k} and so{k}" for k in range(60))
+    long = " ".join(f"w{k}x" for k in range(150_000))
+    names = ["doc_id", "text", "lang", "source", "n_chars", "n_words", "kept", "fail_bits", "digest", "_id", "_text", "score", "found", "class_id", "spans"]
+    rows = [(1, good), (1, good), (None, None), (None, good), (2, ""), (3, f"{good} token=abcdef99 tail"), (4, long)]
+    full = [(k, t, "en" if k else None, None, len(t) if t else None, *["own"] * (len(names) - 5)) for k, t in rows]
+    df = spark.createDataFrame(full, ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SF).collect() == []
+        out = stage(spark, df, SF)
+        left[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=str) if name != "BPE encoding" else out.collect()
+        if name != "BPE encoding":
+            assert out.schema == df.schema
+    key = lambda found: sorted(found, key=str)
+    assert left["quality rules"] == key([(1, good), (1, good), (None, good), (3, rows[5][1]), (4, long)])
+    assert left["n-gram Jaccard join"] == key([(1, good), (None, None), (2, ""), (4, long)])  # the third text is a near copy of the first
+    assert left["benchmark decontamination"] == key(rows)
+    assert left["secret scans"] == key([(k, t.replace("token=abcdef99", "[SECRET]") if t else t) for k, t in rows])
+    assert sorted(r.n_tokens for r in left["BPE encoding"])[:2] == [0, 0] and len(left["BPE encoding"]) == len(rows)
