@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe_chunks, chat_parts, decontaminate, hilbert_shards, jaccard_join, quality_gbt, rule_ledger, secret_cnn, token_files, toxicity_segments
+from tarn.llm import bpe_chunks, chat_parts, decontaminate, filter_audit, hilbert_shards, jaccard_join, piece_offsets, quality_gbt, rule_ledger, secret_cnn, token_files, toxicity_segments, whitening
 from tarn.llm.storage import stored
 
 
@@ -72,6 +72,19 @@ def op10_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gbt.score(docs, quality_gbt.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_offsets.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_bpe_chunk_reuse": op2_bpe_chunk_reuse,
@@ -83,4 +96,7 @@ QUERIES = {
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_secret_cnn": op9_secret_cnn,
     "op10_quality_gbt": op10_quality_gbt,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_piece_offsets": op12_piece_offsets,
+    "op13_jacobi_whitening": op13_jacobi_whitening,
 }

@@ -54,4 +54,42 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op4_rule_ledger": OP4, "op5_chat_parts": OP5}
+OP11 = r"""
+WITH f AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), flags AS (
+  SELECT doc_id, part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+  FROM f
+), l AS (
+  SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id
+), counts AS (
+  SELECT part, list_filter([CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END], lambda x: x IS NOT NULL) AS failed, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM flags LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), placed AS (
+  SELECT part, filter_order, step, filter_order[step:step] AS letter, n, good, toxic, failed,
+         list_filter(string_split(filter_order[:step - 1], ''), lambda x: x <> '') AS earlier
+  FROM counts, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s
+), sums AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT list_has_any(failed, earlier) AND NOT list_contains(failed, letter)), 0) AS kept,
+         coalesce(sum(n) FILTER (NOT list_has_any(failed, earlier) AND list_contains(failed, letter)), 0) AS removed,
+         coalesce(sum(n) FILTER (list_has_any(failed, earlier) AND list_contains(failed, letter)), 0) AS redundant,
+         coalesce(sum(n) FILTER (failed = [letter]), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (NOT list_has_any(failed, earlier) AND list_contains(failed, letter)), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT list_has_any(failed, earlier) AND list_contains(failed, letter)), 0) AS toxic_lost
+  FROM placed GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums
+"""
+
+ORACLE_SQL = {"op4_rule_ledger": OP4, "op5_chat_parts": OP5, "op11_filter_audit": OP11}
