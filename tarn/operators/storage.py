@@ -32,4 +32,13 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*(by or [])).parquet(path)
     order = [f for f in df.schema if f.name not in (by or [])] + [f for f in df.schema if f.name in (by or [])]
-    return df.sparkSession.read.schema(type(df.schema)(order)).parquet(path)
+    out = df.sparkSession.read.schema(type(df.schema)(order)).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of ``stored`` that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.operators import browse, graph, related
+from tarn.operators import browse, communities, graph, related
+from tarn.operators.storage import stored
 from tarn.plans.registry import query
 from tarn.sources.tables import Tables
 
@@ -152,15 +155,43 @@ def gra08(t: Tables) -> DataFrame:
 
 @query("gra09_communities")
 def gra09(t: Tables) -> DataFrame:
-    return graph.label_propagation(part_pairs(t))
+    return communities.louvain(part_pairs(t))
+
+
+BRANDS = "SELECT p_partkey AS node, p_brand AS community FROM part"
+
+
+@query("gra09_modularity", f"""WITH e AS (SELECT * FROM ({PAIRS}) p WHERE weight >= 2), l AS ({BRANDS}), n AS (SELECT e.*, x.community AS ca, y.community AS cb FROM e JOIN l x ON x.node = a JOIN l y ON y.node = b),
+    c AS (SELECT c, sum(weight) AS ends, sum(weight) FILTER (same) AS inside FROM (SELECT ca AS c, weight, ca = cb AS same FROM n UNION ALL SELECT cb, weight, ca = cb FROM n) x GROUP BY 1)
+    SELECT r AS resolution, round(sum(coalesce(inside, 0)) / sum(ends) - r * sum(ends * ends) / (sum(ends) * sum(ends)), 9) AS modularity, count(*) AS communities FROM c, (SELECT unnest([1.0::DOUBLE, 3.0, 6.0]) AS r) r GROUP BY r""")
+def gra09_modularity(t: Tables) -> DataFrame:
+    """Of a given labelling, at the resolutions that graphs of this kind are cut with."""
+    pairs, labels = part_pairs(t), t("part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    rows = [communities.modularity(pairs, labels, r).select(F.lit(r).alias("resolution"), F.round("modularity", 9).alias("modularity"), "communities") for r in (1.0, 3.0, 6.0)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def part_names(t: Tables, pairs: DataFrame) -> DataFrame:
+    return graph.degrees(pairs).join(t("part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("type"), F.col("p_name").alias("name")), "node")
 
 
 @query("gra10_community_summary")
 def gra10(t: Tables) -> DataFrame:
-    pairs = part_pairs(t)
-    names = graph.degrees(pairs).join(t("part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("type"), F.col("p_name").alias("name")), "node")
-    made = graph.community_summary(graph.label_propagation(pairs), names)
-    return made.withColumn("type_counts", F.to_json("type_counts"))
+    pairs = stored(part_pairs(t), "pairs")
+    return graph.community_summary(communities.louvain(pairs), part_names(t, pairs)).withColumn("type_counts", F.to_json("type_counts"))
+
+
+@query("gra10_summary_of_brands", f"""WITH e AS (SELECT * FROM ({PAIRS}) p WHERE weight >= 2), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) x GROUP BY 1),
+    m AS (SELECT p_brand AS community, p_partkey AS node, p_type AS type, p_name AS name, degree FROM d JOIN part ON node = p_partkey),
+    r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY degree DESC, node) AS rn, row_number() OVER (PARTITION BY community, type ORDER BY degree DESC, node) AS rt FROM m),
+    k AS (SELECT community, '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' AS type_counts FROM (SELECT community, type, count(*) AS n FROM m GROUP BY 1, 2) x GROUP BY 1)
+    SELECT r.community, count(*) AS members, min(type_counts) AS type_counts, string_agg(name, ', ' ORDER BY rn) FILTER (rn <= 8) AS label, string_agg(name, ', ' ORDER BY type, rt) FILTER (rt <= 3) AS diverse
+    FROM r JOIN k USING (community) GROUP BY 1 HAVING count(*) >= 3""")
+def gra10_brands(t: Tables) -> DataFrame:
+    """The summary of a given labelling."""
+    pairs = stored(part_pairs(t), "pairs")
+    labels = t("part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    return graph.community_summary(labels, part_names(t, pairs)).withColumn("type_counts", F.to_json("type_counts"))
 
 
 @query("rel01_related_works", related.RELATED_SQL)
