@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tarn.functions import names
 from tarn.functions import text as X
 from tarn.operators.browse import first_per_group
-from tarn.operators.resolve import set_similarity_join, title_pairs
+from tarn.operators.resolve import group_pairs, set_similarity_join, title_pairs, with_group
 from tarn.operators.storage import stored
 
 # A title in an unstructured citation: what follows the year, up to the next full stop or comma.
@@ -39,10 +39,11 @@ def match_references(refs: DataFrame, publications: DataFrame, datasets: DataFra
     blank = F.trim(F.coalesce("title", F.lit(""))) == ""
     rough = F.nullif(F.trim(F.regexp_extract(F.coalesce("raw", F.lit("")), ROUGH_TITLE, 1)), F.lit(""))
     asked = left.select("id", blank.alias("rough"), F.when(blank, rough).otherwise(F.col("title")).alias("title")).filter("title is not null")
-    pairs = title_pairs(asked.select("id", "title"), publications.filter(F.trim(F.coalesce("title", F.lit(""))) != "").select("id", "title"), threshold)
-    pairs = pairs.join(asked.select(F.col("id").alias("left_id"), "rough"), "left_id")
+    asked, known = with_group(asked, "rough"), with_group(publications.filter(F.trim(F.coalesce("title", F.lit(""))) != ""))
+    pairs = group_pairs(asked, known, threshold).join(asked.select(F.col("_g").alias("left_g"), "rough").distinct(), "left_g")
+    named = pairs.join(known.groupBy(F.col("_g").alias("right_g")).agg(F.min("id").alias("right_id")), "right_g")
     order = F.struct(F.when(F.col("rough"), 0.0).otherwise(-F.col("similarity")).alias("s"), "right_id")
-    best = pairs.groupBy(F.col("left_id").alias("id")).agg(F.min_by(F.struct("right_id", "similarity"), order).alias("b"))
+    best = asked.join(named.groupBy(F.col("left_g").alias("_g")).agg(F.min_by(F.struct("right_id", "similarity"), order).alias("b")), "_g")
     titled = best.select("id", F.lit("publication").alias("collection"), F.col("b.right_id").alias("target"), F.lit("title").alias("method"), F.col("b.similarity").alias("confidence"))
     found = doi.unionByName(titled)
     return refs.select("id").join(found, "id", "left").withColumn("link_type", F.when(F.col("target").isNull(), "external").otherwise("internal"))
@@ -183,12 +184,14 @@ def duplicates(candidates: DataFrame, existing: DataFrame, threshold: float, yea
     years at most ``years`` apart or unknown where ``years`` is given."""
     doi = existing.select(X.normal_doi(F.col("doi")).alias("k")).filter("k is not null").distinct()
     same = candidates.select("id", X.normal_doi(F.col("doi")).alias("k")).join(doi, "k", "left_semi").select("id")
-    pairs = title_pairs(candidates.select("id", "title"), existing.select("id", "title"), threshold)
+    more = [] if years is None else ["year"]
+    asked = with_group(candidates, *more)
+    pairs = group_pairs(asked, with_group(existing, *more), threshold, *more)
     if years is not None:
-        pairs = pairs.join(candidates.select(F.col("id").alias("left_id"), F.col("year").alias("_y")), "left_id").join(existing.select(F.col("id").alias("right_id"), F.col("year").alias("_z")), "right_id")
-        known = (F.coalesce("_y", F.lit(0)) != 0) & (F.coalesce("_z", F.lit(0)) != 0)
-        pairs = pairs.filter(~known | (F.abs(F.col("_y") - F.col("_z")) <= years))
-    hit = same.unionByName(pairs.select(F.col("left_id").alias("id"))).distinct().withColumn("duplicate", F.lit(True))
+        known = (F.coalesce("year_l", F.lit(0)) != 0) & (F.coalesce("year_r", F.lit(0)) != 0)
+        pairs = pairs.filter(~known | (F.abs(F.col("year_l") - F.col("year_r")) <= years))
+    titled = asked.select("id", "_g").join(pairs.select(F.col("left_g").alias("_g")).distinct(), "_g", "left_semi")
+    hit = same.unionByName(titled.select("id")).distinct().withColumn("duplicate", F.lit(True))
     return candidates.join(hit, "id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
@@ -207,10 +210,10 @@ def tombstoned(rows: DataFrame, stones: DataFrame, threshold: float = 0.9, years
     doi = stones.select(X.normal_doi(F.col("doi")).alias("_d")).filter("_d is not null").distinct().withColumn("_by_doi", F.lit(True))
     address = F.lower(F.regexp_replace(F.trim("url"), "/+$", ""))
     url = stones.select(address.alias("_u")).filter("_u <> ''").distinct().withColumn("_by_url", F.lit(True))
-    numbered = stones.filter("title is not null").select(F.monotonically_increasing_id().alias("id"), "title", F.col("year").alias("_z"))
-    pairs = title_pairs(rows.select("id", "title"), numbered.select("id", "title"), threshold).join(numbered.select(F.col("id").alias("right_id"), "_z"), "right_id")
-    near = pairs.join(rows.select(F.col("id").alias("left_id"), "year"), "left_id").filter(F.coalesce(F.abs(F.col("year") - F.col("_z")) <= years, F.lit(True)))
-    titled = near.select(F.col("left_id").alias("id")).distinct().withColumn("_by_title", F.lit(True))
+    asked = with_group(rows, "year")
+    pairs = group_pairs(asked, with_group(stones.filter("title is not null"), "year"), threshold, "year")
+    near = pairs.filter(F.coalesce(F.abs(F.col("year_l") - F.col("year_r")) <= years, F.lit(True)))
+    titled = asked.select("id", "_g").join(near.select(F.col("left_g").alias("_g")).distinct(), "_g", "left_semi").select("id").distinct().withColumn("_by_title", F.lit(True))
     marked = rows.withColumns({"_d": X.normal_doi(F.col("doi")), "_u": address}).join(doi, "_d", "left").join(url, "_u", "left").join(titled, "id", "left")
     return marked.withColumn("stone", F.when(F.col("_by_doi"), "doi").when(F.col("_by_url"), "url").when(F.col("_by_title"), "title")).select(*rows.columns, "stone")
 

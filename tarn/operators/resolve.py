@@ -7,45 +7,116 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
+from tarn.operators.storage import stored
+
+
+SHORT = 24  # sets up to this size meet by pairs of tokens, larger ones by single tokens
+
+
+def _overlap(t: float, n: Column, m: Column) -> Column:
+    """Tokens that sets of n and m share at least when their Jaccard similarity is t or more."""
+    return F.greatest(F.ceil((n + m) * (t / (1 + t)) - 1e-9), F.lit(1)).cast("int")
+
+
+def _distinct_sets(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each different token set once (sid, tokens from rare to common, n, l and r: which sides have it), and the members of
+    either side (sid, id)."""
+    members = []
+    for df in (left, right):
+        plain = df.filter(F.col("tokens").isNotNull() & (F.size("tokens") > 0)).select("id", F.array_sort("tokens").alias("tokens"))
+        members.append(stored(plain.select("id", F.unhex(F.md5(F.to_json("tokens"))).alias("sid"), "tokens"), "token-sets"))
+    sides = [m.select("sid", "tokens", F.lit(k == 0).alias("l"), F.lit(k == 1).alias("r")) for k, m in enumerate(members)]
+    sets = sides[0].unionByName(sides[1]).groupBy("sid", "tokens").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    places = stored(sets.select("sid", "l", "r", F.explode("tokens").alias("token")), "token-places")
+    frequency = stored(places.groupBy("token").agg(F.count("*").alias("f")), "token-frequency")
+    ordered = places.join(frequency, "token").groupBy("sid", "l", "r").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("o"))
+    found = ordered.select("sid", "l", "r", F.col("o.token").alias("tokens"), F.size("o").alias("n"))
+    return stored(found, "ordered-sets"), members[0].drop("tokens"), members[1].drop("tokens")
+
+
+def _keyed(sets: DataFrame, t: float) -> DataFrame:
+    """(key, sid, l, r, n, at, shared): what a set can be found by, the place of the key's last token and how many tokens the key has.
+
+    Two sets that share o tokens or more, ordered alike, have their first k common tokens among the first n - o + k of each.
+    Short sets meet by their first two common tokens: such pairs are far rarer than the tokens, so frequent tokens make few
+    candidates.  Pairs that need to share only one token, and those with a set over SHORT, meet by the first.
+    """
+    n = F.col("n")
+    least = F.greatest(F.ceil(n * t - 1e-9), F.lit(1)).cast("int")
+    head = lambda k: F.slice("tokens", F.lit(1), F.least(n, n - least + k).cast("int"))
+    place = lambda x, i: F.struct(F.xxhash64(x).alias("key"), (i + 1).cast("int").alias("at"), F.lit(1).alias("shared"))
+    single = F.transform(head(1), place)
+    later = lambda x, i: F.transform(F.slice(head(2), F.lit(1), i.cast("int")), lambda y: F.struct(F.xxhash64(y, x).alias("key"), (i + 1).cast("int").alias("at"), F.lit(2).alias("shared")))
+    double = F.flatten(F.transform(head(2), lambda x, i: F.when(i > 0, later(x, i)).otherwise(F.array().cast("array<struct<key:bigint,at:int,shared:int>>"))))
+    none = F.array().cast("array<struct<key:bigint,at:int,shared:int>>")
+    alone = (n > t * SHORT - 1e-9) | (_overlap(t, n, least) == 1)
+    keys = F.concat(F.when(alone, single).otherwise(none), F.when((n <= SHORT) & (n > 1), double).otherwise(none))
+    return sets.select("sid", "l", "r", "n", F.inline(keys))
+
+
+def candidate_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """(x, y), x < y, of the different sets that can reach the threshold: size, place of the first common tokens, sides.
+
+    The keys lie in the shared folder, so Spark splits the rows of a key that very many sets have.
+    """
+    keyed = stored(_keyed(sets, threshold), "set-keys")
+    x, y = (keyed.select("key", "shared", *(F.col(c).alias(f"{c}{k}") for c in ("sid", "l", "r", "n", "at"))) for k in ("x", "y"))
+    need = _overlap(threshold, F.col("nx"), F.col("ny"))
+    two = (F.greatest("nx", "ny") <= SHORT) & (need >= 2)
+    reach = F.col("shared") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= need
+    sized = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
+    sides = (F.col("lx") & F.col("ry")) | (F.col("ly") & F.col("rx"))
+    met = x.join(y, ["key", "shared"]).filter((F.col("sidx") < F.col("sidy")) & sides & sized & reach & (two == (F.col("shared") == 2)))
+    return met.select(F.col("sidx").alias("x"), F.col("sidy").alias("y")).distinct()
+
+
+def similar_sets(sets: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
+    """(left_sid, right_sid, similarity) of sets of the two sides, equal sets included."""
+    side = lambda k: sets.select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("tokens", "l", "r")))
+    both = candidate_sets(sets, threshold).join(side("x"), "x").join(side("y"), "y")
+    scored = both.withColumn("similarity", X.jaccard(F.col("tokensx"), F.col("tokensy"))).filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
+    turned = F.array(*(F.struct(F.col(a).alias("left_sid"), F.col(b).alias("right_sid"), (F.col(f"l{a}") & F.col(f"r{b}")).alias("ok")) for a, b in ("xy", "yx")))
+    near = scored.select(F.inline(turned), "similarity").filter("ok").drop("ok")
+    same = sets.filter("l and r").select(F.col("sid").alias("left_sid"), F.col("sid").alias("right_sid"), F.lit(1.0).alias("similarity"))
+    return near.unionByName(same) if threshold < 1 or not strict else near
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
     """(left_id, right_id, similarity) of all pairs whose token sets have a Jaccard similarity over the threshold.
 
-    Both sides have id and tokens (an array of distinct tokens).  Prefix filter: tokens are ordered from rare to common, two
-    sets over the threshold must share one of their first floor((1 - t) n) + 1 tokens, so only those are joined; a length
-    filter and the exact similarity follow.  No pair is lost and no common token joins all with all.
+    Both sides have id and tokens (an array of distinct tokens); null and empty sets are similar to none.  Equal sets are worked
+    once, whatever the number of rows that have them; only the pairs that come out are spread over those rows.  No pair is lost.
     """
-    both = left.select("tokens").unionByName(right.select("tokens"))
-    frequency = both.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    total = both.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    # tokens with more than a thousandth of all places, so fewer than a thousand, are broadcast and never dealt by themselves
-    common, rest = F.broadcast(frequency.filter(F.col("f") * 1000 > total)), frequency.filter(F.col("f") * 1000 <= total)
-
-    def prefixed(df: DataFrame, name: str) -> DataFrame:
-        places = df.select("id", F.explode("tokens").alias("token"))
-        counted = places.join(common, "token").unionByName(places.join(common, "token", "left_anti").join(rest, "token"))
-        ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("o"))
-        n = F.size("o")
-        head = F.slice("o", F.lit(1), (F.floor(n * (1 - threshold) + 1e-9) + 1).cast("int"))
-        return ordered.select(F.col("id").alias(name), n.alias(f"{name}_n"), F.explode(F.transform(head, lambda s: s["token"])).alias("token"))
-
-    a, b = prefixed(left, "left_id"), prefixed(right, "right_id")
-    near = F.least("left_id_n", "right_id_n") >= threshold * F.greatest("left_id_n", "right_id_n") - 1e-9
-    pairs = a.join(b, "token").filter(near).select("left_id", "right_id").distinct()
-    sets = lambda df, name, tokens: df.select(F.col("id").alias(name), F.col("tokens").alias(tokens))
-    joined = pairs.join(sets(left, "left_id", "_a"), "left_id").join(sets(right, "right_id", "_b"), "right_id")
-    scored = joined.select("left_id", "right_id", X.jaccard(F.col("_a"), F.col("_b")).alias("similarity"))
-    return scored.filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
+    sets, own, other = _distinct_sets(left, right)
+    found = similar_sets(sets, threshold, strict)
+    of = lambda df, name: df.select(F.col("sid").alias(f"{name}_sid"), F.col("id").alias(f"{name}_id"))
+    return found.join(of(own, "left"), "left_sid").join(of(other, "right"), "right_sid").select("left_id", "right_id", "similarity")
 
 
 def title_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Title similarity over the threshold between two frames (id, title); titles equal after normalising have 1."""
-    tokens = lambda df: df.select("id", X.title_words(F.col("title")).alias("tokens")).filter(F.size("tokens") > 0)
-    near = set_similarity_join(tokens(left), tokens(right), threshold)
-    key = lambda df, name: df.select(F.col("id").alias(name), X.normal_title(F.col("title")).alias("k"))
-    same = key(left, "left_id").join(key(right, "right_id"), "k").select("left_id", "right_id", F.lit(1.0).alias("similarity"))
-    return near.unionByName(same).groupBy("left_id", "right_id").agg(F.max("similarity").alias("similarity"))
+    """Title similarity over the threshold between two frames (id, title); titles equal after normalising have 1, also two that
+    have no word."""
+    tokens = lambda df: df.select("id", X.title_words(F.col("title")).alias("tokens"))
+    blank = lambda df, name: df.filter(X.normal_title(F.col("title")) == "").select(F.col("id").alias(name), F.lit(0).alias("k"))
+    same = blank(left, "left_id").join(blank(right, "right_id"), "k").select("left_id", "right_id", F.lit(1.0).alias("similarity"))
+    return set_similarity_join(tokens(left), tokens(right), threshold).unionByName(same)
+
+
+def with_group(df: DataFrame, *more: str) -> DataFrame:
+    """Adds ``_g``, the same for rows whose titles are equal after normalising and that agree in ``more``, nulls included."""
+    return df.withColumn("_g", F.to_json(F.struct(X.normal_title(F.col("title")).alias("title"), *more)))
+
+
+def group_pairs(left: DataFrame, right: DataFrame, threshold: float, *more: str) -> DataFrame:
+    """Title similarity over the threshold between groups of ``with_group``: (left_g, right_g, similarity, and each of ``more`` with
+    _l and _r), so that rows with one title are not paired one by one."""
+    sides = []
+    for df, k in ((left, "l"), (right, "r")):
+        sides.append(df.groupBy("_g").agg(F.min("title").alias("title"), *(F.min(c).alias(f"{c}_{k}") for c in more)))
+    pairs = title_pairs(*(s.select(F.col("_g").alias("id"), "title") for s in sides), threshold).withColumnsRenamed({"left_id": "left_g", "right_id": "right_g"})
+    for s, name in zip(sides, ("left_g", "right_g"), strict=True):
+        pairs = pairs.join(s.drop("title").withColumnRenamed("_g", name), name) if more else pairs
+    return pairs
 
 
 def match_records(records: DataFrame, candidates: DataFrame, years: int = 1) -> DataFrame:
@@ -54,15 +125,17 @@ def match_records(records: DataFrame, candidates: DataFrame, years: int = 1) ->
     In order: equal DOI (exact); title over 0.9 with years at most ``years`` apart or unknown (high over 0.95, else fuzzy),
     the best one; title over 0.95 whatever the year (fuzzy).  Null keys match nothing; ties go to the least candidate.
     """
-    doi = lambda df, name: df.select(F.col("id").alias(name), X.normal_doi(F.col("doi")).alias("k")).filter("k is not null")
-    exact = doi(records, "id").join(doi(candidates, "match_id"), "k").select("id", "match_id", F.lit(1).alias("tier"), F.lit(1.0).alias("similarity"))
-    titled = lambda df: df.filter(X.normal_title(F.col("title")) != "").select("id", "title")
-    pairs = title_pairs(titled(records), titled(candidates), 0.9).withColumnsRenamed({"left_id": "id", "right_id": "match_id"})
-    pairs = pairs.join(records.select("id", F.col("year").alias("_y")), "id").join(candidates.select(F.col("id").alias("match_id"), F.col("year").alias("_z")), "match_id")
-    near = F.coalesce(F.abs(F.col("_y") - F.col("_z")) <= years, F.lit(True))
-    by_title = pairs.select("id", "match_id", F.when(near, 2).when(F.col("similarity") > 0.95, 3).alias("tier"), "similarity").filter("tier is not null")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("tier", F.desc("similarity"), "match_id"))
-    best = exact.unionByName(by_title).withColumn("rn", rank).filter("rn = 1")
+    doi = lambda df: df.select("id", X.normal_doi(F.col("doi")).alias("k")).filter("k is not null")
+    first = doi(candidates).groupBy("k").agg(F.min("id").alias("match_id"))
+    exact = doi(records).join(first, "k").select("id", "match_id", F.lit(1).alias("tier"), F.lit(1.0).alias("similarity"))
+    titled = lambda df: with_group(df.filter(X.normal_title(F.col("title")) != "").select("id", "title", "year"), "year")
+    asked, known = titled(records), titled(candidates)
+    near = F.coalesce(F.abs(F.col("year_l") - F.col("year_r")) <= years, F.lit(True))
+    pairs = group_pairs(asked, known, 0.9, "year").withColumn("tier", F.when(near, 2).when(F.col("similarity") > 0.95, 3)).filter("tier is not null")
+    named = pairs.join(known.groupBy(F.col("_g").alias("right_g")).agg(F.min("id").alias("match_id")), "right_g")
+    chosen = named.groupBy(F.col("left_g").alias("_g")).agg(F.min_by(F.struct("match_id", "tier", "similarity"), F.struct("tier", -F.col("similarity"), "match_id")).alias("b"))
+    by_title = asked.join(chosen, "_g").select("id", "b.*")
+    best = exact.unionByName(by_title.join(exact.select("id"), "id", "left_anti"))
     confidence = F.when(F.col("tier") == 1, "exact").when((F.col("tier") == 2) & (F.col("similarity") > 0.95), "high").when(F.col("tier").isNotNull(), "fuzzy").otherwise("none")
     return records.select("id").join(best, "id", "left").select("id", "match_id", confidence.alias("confidence"), F.round("similarity", 6).alias("similarity"))
 
@@ -70,11 +143,10 @@ def match_records(records: DataFrame, candidates: DataFrame, years: int = 1) ->
 def new_records(records: DataFrame, existing: DataFrame, threshold: float = 0.85, years: int = 2) -> DataFrame:
     """The records that match no existing one by DOI, nor by title over the threshold with years close or unknown."""
     doi = existing.select(X.normal_doi(F.col("doi")).alias("_k")).filter("_k is not null").distinct()
-    left = records.withColumn("_k", X.normal_doi(F.col("doi"))).join(doi, "_k", "left_anti").drop("_k")
-    pairs = title_pairs(left.select("id", "title"), existing.select("id", "title"), threshold)
-    dated = pairs.join(left.select(F.col("id").alias("left_id"), F.col("year").alias("_y")), "left_id").join(existing.select(F.col("id").alias("right_id"), F.col("year").alias("_z")), "right_id")
-    near = F.coalesce(F.abs(F.col("_y") - F.col("_z")) <= years, F.lit(True))
-    return left.join(dated.filter(near).select(F.col("left_id").alias("id")).distinct(), "id", "left_anti")
+    left = with_group(records.withColumn("_k", X.normal_doi(F.col("doi"))).join(doi, "_k", "left_anti").drop("_k"), "year")
+    near = F.coalesce(F.abs(F.col("year_l") - F.col("year_r")) <= years, F.lit(True))
+    hit = group_pairs(left, with_group(existing, "year"), threshold, "year").filter(near).select(F.col("left_g").alias("_g")).distinct()
+    return left.join(hit, "_g", "left_anti").select(*records.columns)
 
 
 def distinct_by(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
