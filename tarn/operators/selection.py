@@ -103,12 +103,15 @@ def parents_first(nodes: DataFrame, id: str, parent: str) -> DataFrame:
 
 def renumbered(df: DataFrame, order: list[Column], id: str = "new_id", parts: int = 64) -> DataFrame:
     """Ids 1, 2, .. in ascending order of the given values without putting all rows in one task: ranges of the order are
-    numbered on their own and start where the ranges before them end."""
+    numbered on their own and start where the ranges before them end.  The ranges are stored, since their borders are sampled and
+    both the counts and the numbers must see the same ones."""
     from pyspark.sql import Window as W
 
+    from tarn.operators.storage import stored
+
     keys = [f"_o{i}" for i in range(len(order))]
     ranged = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)))
-    ranged = ranged.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
+    ranged = stored(ranged.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
     starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
     number = F.row_number().over(W.partitionBy("_part").orderBy(*keys))

@@ -208,9 +208,10 @@ def gra11(t: Tables) -> DataFrame:
     return graph.with_communities(t("part").select("p_partkey"), labels, "p_partkey")
 
 
-@query("gra12_subgraph", f"""WITH e AS (SELECT a, b, weight FROM ({PAIRS}) p), m AS (SELECT p_partkey AS node FROM part WHERE p_size < 20), x AS (SELECT a AS x, b AS node FROM e UNION ALL SELECT b, a FROM e),
-    o AS (SELECT x AS node FROM x WHERE node IN (SELECT node FROM m) AND x NOT IN (SELECT node FROM m) AND x IN (SELECT p_partkey FROM part WHERE p_type LIKE 'S%') GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT node FROM m UNION SELECT node FROM o)
-    SELECT a, b, weight FROM e WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n)""")
+@query("gra12_subgraph", f"""WITH e AS MATERIALIZED (SELECT a, b, weight FROM ({PAIRS}) p), m AS (SELECT p_partkey AS node FROM part WHERE p_size < 20), x AS (SELECT a AS x, b AS node FROM e UNION ALL SELECT b, a FROM e),
+    k AS (SELECT x.x AS node, count(*) AS n FROM x JOIN m USING (node) GROUP BY 1),
+    o AS (SELECT k.node FROM k JOIN part ON p_partkey = k.node ANTI JOIN m USING (node) WHERE n >= 2 AND p_type LIKE 'S%'), n AS (SELECT node FROM m UNION ALL SELECT node FROM o)
+    SELECT e.a, e.b, e.weight FROM e JOIN n na ON na.node = e.a JOIN n nb ON nb.node = e.b""")
 def gra12(t: Tables) -> DataFrame:
     """The parts of small size, and outside parts of one type that have two edges or more to them."""
     part = t("part").select(F.col("p_partkey").alias("node"), "p_size", "p_type")

@@ -37,7 +37,7 @@ def str17(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", S.grouping_name(raw).alias("name"))
 
 
-@query("str19_stakeholders", f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'us forest service' WHEN 1 THEN lower({FIRST}) || ' county' WHEN 2 THEN lower({FIRST}) || ' llc' ELSE 'environmental protection agency' END AS name, CASE p_partkey % 4 WHEN 0 THEN 'federal_agency' WHEN 1 THEN 'local_gov' WHEN 2 THEN 'industry' ELSE 'other' END AS kind FROM part")
+@query("str19_stakeholders", f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'us forest service' WHEN 1 THEN lower({FIRST}) || ' county' WHEN 2 THEN lower({FIRST}) || ' llc' ELSE 'environmental protection agency' END AS name, CASE p_partkey % 4 WHEN 0 THEN 'federal_agency' WHEN 1 THEN 'local_gov' WHEN 2 THEN 'industry' ELSE 'federal_agency' END AS kind FROM part")
 def str19(t: Tables) -> DataFrame:
     raw = F.expr(f"CASE p_partkey % 4 WHEN 0 THEN 'The U.S. Forest Service (USFS)' WHEN 1 THEN concat(' \"', {FIRST}, '\"  County.') WHEN 2 THEN concat({FIRST}, ' LLC;') ELSE 'E.P.A.' END")
     name = S.agency_name(raw, {"e p a": "environmental protection agency"})

@@ -6,7 +6,6 @@ watermark says and no longer.
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -33,16 +32,15 @@ def limit_stream(events: DataFrame, key: str, at: str, most: int, seconds: int,
             state.remove()
             return
         times = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            rows = []
-            for now in sorted(batch["at"]):
-                stamp = now.timestamp()
-                times = [t for t in times if t > stamp - seconds]
-                allowed = len(times) < most
-                if allowed:
-                    times.append(stamp)
-                rows.append((keys[0], now, allowed, len(times), 0 if allowed else int(times[0] + seconds - stamp) + 1))
-            yield pd.DataFrame(rows, columns=["key", "at", "allowed", "used", "retry_after"])
+        rows = []
+        for now in sorted(t for batch in batches for t in batch["at"]):  # a key's events of one trigger, in whatever batches they come
+            stamp = now.timestamp()
+            times = [t for t in times if t > stamp - seconds]
+            allowed = len(times) < most
+            if allowed:
+                times.append(stamp)
+            rows.append((keys[0], now, allowed, len(times), 0 if allowed else int(times[0] + seconds - stamp) + 1))
+        yield pd.DataFrame(rows, columns=["key", "at", "allowed", "used", "retry_after"])
         state.update((times,))
         if times:
             state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
@@ -99,12 +97,11 @@ def resume(todo: DataFrame, key: str, path: str, work: Callable[[DataFrame], Dat
         worked += n
 
 
-def drained(stream: DataFrame, checkpoint: str, table: str, timeout: float = 120.0) -> DataFrame:
-    """Runs a stream over all that is there, into a table in memory, and returns that table (for bounded inputs and tests)."""
+def drained(stream: DataFrame, checkpoint: str, table: str, timeout: float | None = None) -> DataFrame:
+    """Runs a stream over all that is there, into a table in memory, and returns that table (for bounded inputs and tests).  With
+    a ``timeout`` in seconds a stream that has not come to its end by then is stopped, which is an error."""
     query = stream.writeStream.format("memory").queryName(table).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    ends = time.monotonic() + timeout
-    while query.isActive and time.monotonic() < ends:
-        query.awaitTermination(1)
-    if query.exception() is not None:
-        raise query.exception()
+    if query.awaitTermination(timeout) is False:
+        query.stop()
+        raise TimeoutError(f"the stream was still running after {timeout} s")
     return stream.sparkSession.table(table)

@@ -33,6 +33,25 @@ def test_limit_stream_counts_allowed_events_across_batches(spark, tmp_path):
     assert got == [("a", 0, True, 0), ("a", 10, True, 0), ("a", 20, False, 41), ("a", 61, True, 0), ("a", 69, False, 2), ("a", 72, True, 0), ("b", 11, True, 0), ("b", 12, True, 0)]
 
 
+def test_limit_stream_in_the_order_of_time_whatever_the_batches(spark, tmp_path):
+    """Two rows an Arrow batch: later events come first, and all but the earliest two are refused."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        stream = events(spark, tmp_path / "in", [[("a", s, s) for s in (50, 40, 30, 20, 10, 0)]])
+        out = limits.drained(limits.limit_stream(stream, "who", "at", 2, 60), str(tmp_path / "checkpoint"), "small_batches")
+        assert sorted(int((r.at - START).total_seconds()) for r in out.filter("allowed").collect()) == [0, 10]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_a_stream_that_takes_too_long_is_an_error(spark, tmp_path):
+    stream = events(spark, tmp_path / "in", [[("a", 0, 1)], [("a", 1, 1)]])
+    slow = stream.withColumn("n", F.expr("n + cast(reflect('java.lang.Thread', 'sleep', 3000L) is null as int)"))
+    with pytest.raises(TimeoutError):
+        limits.drained(slow, str(tmp_path / "checkpoint"), "slow", 1.0)
+
+
 def test_duplicates_within_a_day(spark, tmp_path):
     stream = events(spark, tmp_path / "in", [[("a", 0, 1), ("b", 1, 1)], [("a", 3600, 1), ("a", 3600, 2)]])
     out = limits.drained(limits.distinct_stream(stream, ["who", "n"], "at"), str(tmp_path / "checkpoint"), "distinct")
