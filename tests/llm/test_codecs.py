@@ -163,3 +163,20 @@ def test_token_files_with_nulls_repeats_and_many_blocks(spark):
     assert [r.key for r in ordered] == [None, 1, 2, 2, 3] and [r.n_tokens for r in ordered] == [2, 1, 3, 3, 9001]
     assert [r.start for r in ordered] == [0, 2, 3, 6, 9] and ordered[1].ids == [2]
     assert token_files.read_blocks(token_files.write_blocks(df.limit(0), WORD)).collect() == []
+
+
+def test_mixing_beats_static_order_0_at_any_block_size():
+    """Ids of real texts: a block, its first tenth, and a few; order 0 is counted on the ids themselves and pays for no table."""
+    import pandas as pd
+    from tokenizers import Tokenizer
+
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.fillna("").tolist()
+    library = Tokenizer.from_file(WORD)
+    ids = np.concatenate([[*e.ids, 2] for e in library.encode_batch(texts, add_special_tokens=False)])
+    for n, share in ((len(ids), 0.94), (len(ids) // 3, 0.97)):
+        counts = np.bincount(ids[:n])
+        part = counts[counts > 0] / n
+        order0 = -(part * np.log2(part)).sum() / 8
+        block = range_coder.encode(ids[:n], library.get_vocab_size())
+        assert len(block) / n < share * order0
+        assert (range_coder.decode(block) == ids[:n]).all()
