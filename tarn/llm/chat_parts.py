@@ -157,4 +157,6 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield result()
 
     parts = segments.select("conv_id", "turn", "role", "segment", "loss_start", "loss_end", "n_media_tokens")
-    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "segment").mapInArrow(run, schema)
+    content = F.substring("segment", F.col("loss_start") + 1, F.length("segment") - F.col("loss_start") - len("<|end|>\n"))
+    said = F.regexp_replace(content, r"(?s)\\(.)", "$1")  # what was said, not how it is escaped, orders tied turns
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", said, "segment").mapInArrow(run, schema)

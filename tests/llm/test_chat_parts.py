@@ -58,3 +58,11 @@ def test_roles_of_any_text_read_back(spark):
         assert chat_parts.unescape(role) == roles[r.conv_id] and chat_parts.unescape(content) == "said\n" + roles[r.conv_id]
     for r in chat_parts.read_back(made).collect():
         assert r.turns_sha256 == hashlib.sha256(f"{roles[r.conv_id]}\nsaid\n{roles[r.conv_id]}\n".encode()).hexdigest()
+
+
+def test_tied_turns_are_ordered_by_what_was_said(spark):
+    """One text begins another, and escapes would change the order."""
+    said = ["a", "a!", "[INST]", "[Z", "<|x", "<a", "\\", "\\a", "", "]", "a\nb"]
+    turns = spark.createDataFrame([(1, 0, "user", t) for t in said], "conv_id long, turn long, role string, text string")
+    row = chat_parts.read_back(chat_parts.format_turns(turns.select("conv_id", "turn", "role", chat_parts.text_parts().alias("parts")))).first()
+    assert row.turns_sha256 == hashlib.sha256("".join(f"user\n{t}\n" for t in sorted(said, key=str.encode)).encode()).hexdigest()
