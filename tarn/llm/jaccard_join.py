@@ -295,6 +295,11 @@ def _joined(docs: DataFrame, key: str, text: str, params: Params) -> DataFrame:
     wanted = members.select("digest", F.col("_id").alias("_wanted")).distinct()
     hashed = wanted.hint("shuffle_hash")  # the ids of members are hashed, so the texts need not be sorted
     found = source.join(hashed, (source["digest"] == hashed["digest"]) & source["_id"].eqNullSafe(hashed["_wanted"]), "left_semi")
+    again = sketch.filter("digest is not null").groupBy("digest", "_id").agg(F.count("*").alias("n")).filter("n > 1")
+    again = stored(again.join(wanted, (again["digest"] == wanted["digest"]) & again["_id"].eqNullSafe(wanted["_wanted"]), "left_semi").select("digest"), "repeats")
+    if not again.isEmpty():  # rows equal in key and text: one of them is enough
+        once = found.join(again.hint("shuffle_hash"), "digest", "left_semi").dropDuplicates(["digest"])
+        found = found.join(again.hint("shuffle_hash"), "digest", "left_anti").unionByName(once)
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     units = members.select("digest", "bucket", "chunks", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("side"))
     units = units.select("digest", "bucket", "side", other).select("digest", "bucket", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))

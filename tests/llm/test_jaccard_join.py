@@ -155,3 +155,14 @@ def test_hubs_are_joined_without_their_key(spark):
     assert joined.count() == 5000 and joined.filter("k = -1").select("n").distinct().collect()[0].n == 1667
     edges = [(0, k) for k in range(1, 400)] + [(k, k + 1000) for k in range(1, 400)]
     assert set(dict(components(spark.createDataFrame(edges, "a long, b long")).collect()).values()) == {0}
+
+
+def test_rows_that_repeat_are_worked_once(spark, monkeypatch):
+    """500 rows of one key and text, and two near copies: each text comes once into a unit."""
+    base = [f"word{k}" for k in range(60)]
+    rows = [(1, " ".join(base))] * 500 + [(2, " ".join([*base, "more"])), (3, " ".join([*base, "other"])), (None, " ".join([*base, "none"])), (None, " ".join([*base, "none"]))]
+    seen, work = [], jaccard_join._worked
+    monkeypatch.setattr(jaccard_join, "_worked", lambda units, params: seen.append(units.groupBy("bucket", "low", "high", "digest").count().filter("count > 1").count()) or work(units, params))
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen == [0]
+    assert len(got) == len(rows) and {r.n_links for r in got} == {3} and {r.class_id for r in got} == {1}
