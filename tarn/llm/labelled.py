@@ -16,8 +16,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, key
 
     The sample is the ``rows`` labels least by a hash of the key: the same rows whatever the partitions.  Only keys and
     labels are ordered; the texts come by a join with that bounded list.  Rows with a null key or label are left out, and of
-    repeated keys one label counts.
+    repeated keys one label and one text count: the greatest label and the text whose hash is least.
     """
     usable = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
     chosen = usable.orderBy(F.xxhash64(key), key).limit(rows)
-    return docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).select(F.col(key).alias("_key"), "_text", "_label")
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key")
+    return found.groupBy("_key", "_label").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text")).select("_key", "_text", "_label")

@@ -202,3 +202,15 @@ def test_redaction_and_defined_scans(spark):
     got = {(r.doc_id, r.text, r.n_chars) for r in secret_cnn.redact(docs, net).collect()}
     assert got == {(1, "x [SECRET] y", 12), (2, None, None), (2, "", 0)}
     assert len(secret_cnn.scan(docs, net).collect()) == 3 and secret_cnn.scan(docs.limit(0), net).collect() == []
+
+
+def test_the_sample_is_bounded_when_keys_repeat(spark):
+    """A key on a thousand rows, with several texts, is one row of the sample: the text whose hash is least."""
+    from tarn.llm.labelled import training_rows
+
+    docs = spark.range(3000).selectExpr("if(id < 1000, 1, id) as doc_id", "concat('text ', id % 7) as text", "'x' as _key", "0 as _label")
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    once = training_rows(docs, labels, "toxic", 50).collect()
+    assert len(once) <= 50 and len({r._key for r in once}) == len(once)
+    assert training_rows(docs, labels.filter("doc_id < 8"), "toxic", 50).collect()[0]._text is not None
+    assert sum(r._key == 1 for r in training_rows(docs, labels.filter("doc_id < 8"), "toxic", 50).collect()) <= 1
