@@ -2,90 +2,105 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import search
+from tarn.functions.stemmer import stem
+from tarn.operators import search, text_index
+from tarn.operators.storage import shared_dir
 from tarn.plans.registry import query
 from tarn.sources.tables import Tables
 
 STOPS = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
+ENDINGS = ("", "s", "es", "ed", "ing", "ings", "ly", "edly", "ingly", "er", "ers", "e", "ful", "fully", "ness", "al", "ation", "y", "ies", "lyed", "lying", "lyings", "lyedly", "lyingly")
 
 
-def _stem_sql(c: str) -> str:
-    return reduce(lambda s, rule: "regexp_replace({}, '{}', '{}')".format(s, rule[0], rule[1].replace("$", "\\")), search.INFLECTIONS, c)
+def _forms(term: str) -> str:
+    """The forms of a term as a list in SQL."""
+    return ", ".join(f"'{term}{e}'" for e in ENDINGS if stem(term + e) == term)
 
 
 def _words_sql(name: str, source: str, key: str, title: str, body: str) -> str:
-    """Rows id, weight, term and place of a collection with a title (A) and a body (D)."""
+    """Rows id, weight, word and place of a collection with a title (A) and a body (D)."""
     split = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')".format
     return f"""{name}_s AS (SELECT {key} AS id, {split(title)} AS a, {split(body)} AS d FROM {source}),
-    {name}_w AS (SELECT id, 1.0 AS w, unnest(a) AS word, generate_subscripts(a, 1) AS place FROM {name}_s UNION ALL SELECT id, 0.1, unnest(d), len(a) + generate_subscripts(d, 1) FROM {name}_s),
-    {name} AS (SELECT id, w, {_stem_sql('word')} AS term, place FROM {name}_w WHERE word NOT IN ({STOPS}))"""
+    {name} AS (SELECT id, 1.0::DOUBLE AS w, unnest(a) AS word, generate_subscripts(a, 1) AS place FROM {name}_s UNION ALL SELECT id, 0.1::DOUBLE, unnest(d), len(a) + generate_subscripts(d, 1) FROM {name}_s)"""
 
 
-def _rank_sql(name: str, wanted: list[str]) -> str:
-    listed = ", ".join(f"'{t}'" for t in wanted)
-    return f"""{name}_j AS (SELECT *, row_number() OVER (PARTITION BY id, term ORDER BY place) AS j FROM {name} WHERE term IN ({listed})),
-    {name}_m AS (SELECT id, term, max(w) AS top, sum(w / (j * j)) AS damped, arg_min(j, (-w, j)) AS f FROM {name}_j GROUP BY 1, 2),
-    {name}_r AS (SELECT id, sum((top + damped - top / (f * f)) / 1.64493406685) / {len(wanted)} AS rank FROM {name}_m GROUP BY 1 HAVING count(*) = {len(wanted)})"""
+def _rank_sql(name: str, term: str) -> str:
+    return f"""{name}_j AS (SELECT id, w, place, row_number() OVER (PARTITION BY id ORDER BY place) AS j FROM {name} WHERE word IN ({_forms(term)})),
+    {name}_m AS (SELECT id, max(w) AS top, sum(w / (j * j)) AS damped, arg_min(j, (-w, j)) AS f FROM {name}_j GROUP BY 1),
+    {name}_r AS (SELECT id, (top + damped - top / (f * f)) / 1.64493406685 AS rank FROM {name}_m)"""
 
 
 DOCS = _words_sql("d", "documents", "doc_id", "source", "text")
 
 
-def _documents(t: Tables) -> DataFrame:
-    return search.build_index(t("documents"), "doc_id", {"A": "source", "D": "text"})
+def _documents(t: Tables, language: str = "english") -> text_index.TextIndex:
+    return text_index.kept_index(t("documents"), "doc_id", {"A": "source", "D": "text"}, language)
 
 
-@query("fts01_stored_index", f"WITH {DOCS} SELECT term, count(DISTINCT id) AS documents, count(*) AS places, CAST(sum(place) AS BIGINT) AS ats FROM d GROUP BY 1")
+@query("fts01_stored_index", f"WITH {DOCS} SELECT word AS term, count(DISTINCT id) AS documents, count(*) AS places, CAST(sum(place) AS BIGINT) AS ats, CAST(sum(round(w * 10)) AS BIGINT) AS weights FROM d GROUP BY 1")
 def fts01(t: Tables) -> DataFrame:
-    rows = _documents(t).select("term", "id", F.explode("positions").alias("at"))
-    return rows.groupBy("term").agg(F.count_distinct("id").alias("documents"), F.count("*").alias("places"), F.sum("at").cast("long").alias("ats"))
+    """Every word of the index as it stands: in how many documents, where, and with what weights."""
+    heavy = F.length(F.regexp_replace("weights", "[^A]", ""))
+    sums = F.aggregate("ats", F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = _documents(t, "simple").postings().select("term", F.size("ats").alias("n"), sums.alias("ats"), (heavy * 10 + F.length("weights") - heavy).alias("w"))
+    return rows.groupBy("term").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("places"), F.sum("ats").alias("ats"), F.sum("w").cast("long").alias("weights"))
 
 
-@query("fts02_stemmed_match", f"WITH {DOCS}, {_rank_sql('d', ['hand', 'thing'])} SELECT id, round(rank, 6) AS rank FROM d_r")
+@query("fts02_stemmed_match", f"""WITH {DOCS}, h AS (SELECT id, w, place, word IN ({_forms('hand')}) AS first FROM d WHERE word IN ({_forms('hand')}, {_forms('thing')})),
+    b AS (SELECT id FROM h GROUP BY 1 HAVING bool_or(first) AND bool_or(NOT first)),
+    p AS (SELECT x.id, 1 - exp(sum(ln(1 - sqrt(x.w * y.w / (1.005 + 0.05 * exp(abs(x.place - y.place) / 1.5 - 2)))))) AS rank FROM h x JOIN h y ON x.id = y.id AND x.first AND NOT y.first AND abs(x.place - y.place) <= 100 GROUP BY 1)
+    SELECT id, round(coalesce(rank, 0), 6) AS rank FROM b LEFT JOIN p USING (id)""")
 def fts02_stemmed(t: Tables) -> DataFrame:
-    """Stop words of the query are no condition; inflected forms count."""
-    asked = search.Query.of(t("documents"), "the Things and HANDED")
-    return search.ranked(_documents(t), asked).select("id", F.round("rank", 6).alias("rank"))
+    """Stop words of the query are no condition; inflected forms count; the nearer the terms stand, the higher the rank."""
+    return _documents(t).ranked("the Things and HANDED").select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("fts03_stemmed_phrase", f"WITH {DOCS} SELECT DISTINCT a.id FROM d a JOIN d b ON a.id = b.id AND a.term = 'er' AND b.term = 'en' AND b.place = a.place + 1 UNION SELECT id FROM d WHERE term = 'trash'")
+@query("fts03_stemmed_phrase", f"WITH {DOCS} SELECT DISTINCT a.id FROM d a JOIN d b ON a.id = b.id AND a.word IN ({_forms('er')}) AND b.word IN ({_forms('en')}) AND b.place = a.place + 1 UNION SELECT id FROM d WHERE word IN ({_forms('trash')})")
 def fts03_stemmed(t: Tables) -> DataFrame:
     """Either of two phrases, by places in the index."""
     own = _documents(t)
-    found = [search.match_positions(own, search.Query.of(own, p)) for p in ("er en", "trash")]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return own.phrase("er en").unionByName(own.phrase("trash")).distinct()
 
 
-@query("fts04_conjunctions", f"WITH {DOCS} SELECT id FROM d WHERE term IN ('and', 'er', 'thing') GROUP BY 1 HAVING count(DISTINCT term) FILTER (term IN ('er', 'thing')) = 2 UNION SELECT id FROM d WHERE term = 'license'")
+@query("fts04_conjunctions", f"WITH {DOCS} SELECT id FROM d GROUP BY 1 HAVING bool_or(word IN ({_forms('er')})) AND bool_or(word IN ({_forms('thing')})) UNION SELECT id FROM d WHERE word IN ({_forms('licens')})")
 def fts04(t: Tables) -> DataFrame:
     """``er & thing | license``, raw; parts without a word are ignored."""
-    own = _documents(t)
-    return search.match_any(own, [search.Query.of(own, "er & things"), search.Query.of(own, "license"), search.Query.of(own, "& !")])
+    return _documents(t).any_of(["er & things", "license", "& !"])
 
 
-@query("fts05_ranked", f"WITH {DOCS}, {_rank_sql('d', ['src1'])} SELECT id, round(rank, 6) AS rank FROM d_r")
+@query("fts05_ranked", f"WITH {DOCS}, {_rank_sql('d', 'src1')} SELECT id, round(rank, 6) AS rank FROM d_r")
 def fts05(t: Tables) -> DataFrame:
     """A term of the title counts ten times one of the text."""
-    return search.ranked(_documents(t), search.Query.of(t("documents"), "SRC1")).select("id", F.round("rank", 6).alias("rank"))
+    return _documents(t).ranked("SRC1").select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("fts05_additions_and_deletions", f"""WITH {DOCS}, {_rank_sql('d', 'thing')} SELECT id, round(rank, 6) AS rank FROM d_r WHERE id % 5 <> 1 OR id % 2 = 0""")
+def fts05_changes(t: Tables) -> DataFrame:
+    """An index that grew by two segments and lost documents, of which some came back."""
+    docs, folder = t("documents"), f"{shared_dir(t.spark)}/text-index-{uuid.uuid4().hex}"
+    index = text_index.TextIndex.create(t.spark, folder, {"A": "source", "D": "text"})
+    index = index.append(docs.filter("doc_id % 3 = 0"), "doc_id").append(docs.filter("doc_id % 3 <> 0"), "doc_id")
+    index = index.delete(docs.filter("doc_id % 5 = 1").select("doc_id")).append(docs.filter("doc_id % 5 = 1 and doc_id % 2 = 0"), "doc_id")
+    return index.ranked("things").select("id", F.round("rank", 6).alias("rank"))
 
 
 COLLECTIONS = ", ".join((DOCS, _words_sql("p", "pages", "page_id", "url", "regexp_replace(html, '<[^>]*>', ' ', 'g')"), _words_sql("b", "benchmark", "item_id", "''", "text")))
 
 
-@query("fts06_unified_search", f"""WITH {COLLECTIONS}, {_rank_sql('d', ['thing'])}, {_rank_sql('p', ['thing'])}, {_rank_sql('b', ['thing'])},
+@query("fts06_unified_search", f"""WITH {COLLECTIONS}, {_rank_sql('d', 'thing')}, {_rank_sql('p', 'thing')}, {_rank_sql('b', 'thing')},
     u AS (SELECT * FROM (SELECT 'document' AS collection, id, rank FROM d_r ORDER BY round(rank, 9) DESC, id LIMIT 12 OFFSET 3) x UNION ALL SELECT * FROM (SELECT 'page', id, rank FROM p_r ORDER BY round(rank, 9) DESC, id LIMIT 12 OFFSET 3) y
       UNION ALL SELECT * FROM (SELECT 'question', id, rank FROM b_r ORDER BY round(rank, 9) DESC, id LIMIT 12 OFFSET 3) z)
     SELECT collection, id, round(rank, 6) AS rank, (SELECT count(*) FROM d_r) + (SELECT count(*) FROM p_r) + (SELECT count(*) FROM b_r) AS total FROM u ORDER BY round(rank, 9) DESC, collection, id LIMIT 12""")
 def fts06(t: Tables) -> DataFrame:
     pages = t("pages").select("page_id", "url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"))
     benchmark = t("benchmark").select("item_id", F.lit("").alias("title"), "text")
-    indexes = {"document": _documents(t), "page": search.build_index(pages, "page_id", {"A": "url", "D": "text"}), "question": search.build_index(benchmark, "item_id", {"A": "title", "D": "text"})}
-    return search.unified(indexes, search.Query.of(pages, "a thing"), 12, 3).withColumn("rank", F.round("rank", 6))
+    indexes = {"document": _documents(t), "page": text_index.kept_index(pages, "page_id", {"A": "url", "D": "text"}), "question": text_index.kept_index(benchmark, "item_id", {"A": "title", "D": "text"})}
+    return text_index.unified(indexes, "a thing", 12, 3).withColumn("rank", F.round("rank", 6))
 
 
 @query("fts07_browse", """WITH RECURSIVE below AS (SELECT id FROM topics WHERE id = 2 UNION ALL SELECT t.id FROM below JOIN topics t ON t.parent_id = below.id)
