@@ -143,20 +143,11 @@ def merge_plurals(entities: DataFrame, mentions: DataFrame, least: int = 5) -> t
 
 def backfilled_mentions(docs: DataFrame, terms: DataFrame, mentions: DataFrame, key: str = "doc_id", text: str = "text", confidence: float = 0.5) -> DataFrame:
     """New mentions (entity_id, item_id, confidence) of terms (entity_id, phrase) that stand word by word in a document and are
-    not among the mentions.  Documents are cut into runs of as many words as a phrase has, and runs are joined with phrases,
-    so no document is compared with every phrase."""
-    from tarn.operators.search import tokens
+    not among the mentions (``linking.phrase_hits``)."""
+    from tarn.operators.linking import phrase_hits
 
-    wanted = terms.select("entity_id", F.array_join(tokens(F.col("phrase")), " ").alias("run"), F.size(tokens(F.col("phrase"))).alias("n")).filter("n > 0")
-    lengths = sorted(r.n for r in wanted.select("n").distinct().collect())  # as many as phrases differ in length
-    words = docs.select(F.col(key).alias("item_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-
-    def runs_of(n: int) -> DataFrame:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        return words.select("item_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " ")))).alias("run"))
-
-    runs = reduce(DataFrame.unionByName, map(runs_of, lengths or [1]))
-    found = runs.join(wanted.select("entity_id", "run"), "run").select("entity_id", "item_id").distinct()
+    hits = phrase_hits(docs, terms.select(F.col("entity_id").alias("phrase_id"), "phrase"), key, text)
+    found = hits.select(F.col("phrase_id").alias("entity_id"), "item_id").distinct()
     return found.join(mentions.select("entity_id", "item_id"), ["entity_id", "item_id"], "left_anti").withColumn("confidence", F.lit(confidence))
 
 
