@@ -107,31 +107,36 @@ def cluster_sweep(vectors: DataFrame, thresholds: list[float], group: str, key:
     return reduce(DataFrame.unionByName, rows)
 
 
-def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, over: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Per query row its k most similar other rows over the limit: (query, key, similarity).  The queries are a set of stated
-    size, cut into blocks that are scored against the table batch by batch; each batch keeps its k best a query, so that
-    little is shuffled."""
+def nearest_each(queries: DataFrame, vectors: DataFrame, k: int, over: float, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """Per query row its k most similar other rows over the limit: (query, key, similarity).
+
+    Queries and table are dealt into blocks of about ``block`` rows, and every block of queries meets every block of the table in
+    a task of its own, which keeps its k best a query.  Nothing is gathered by the driver, however many queries there are, and a
+    task holds two blocks.  Null and zero vectors are near to none.
+    """
     kind = dict(vectors.dtypes)[key]
-    rows = queries.select(key, vector).collect()  # the stated set of queries
-    ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300) if len(rows) else q
+    use = lambda df: df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
+    many = lambda df: max(1, -(-df.count() // block))
+    asked, known = use(queries), use(vectors)
+    n_asked, n_known = many(asked), many(known)
+    dealt = lambda df, n: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "v", F.lit(True).alias("ask"), dealt(asked, n_asked).alias("x"), every(n_known).alias("y"))
+    right = known.select("id", "v", F.lit(False).alias("ask"), every(n_asked).alias("x"), dealt(known, n_known).alias("y"))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            x = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            own = batch[key].to_numpy()
-            for low in range(0, len(ids), 1024):
-                s = q[low : low + 1024] @ x.T
-                s[ids[low : low + 1024, None] == own[None, :]] = -2
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.reshape(-1)
-                keep = s[i, j] > over
-                yield pd.DataFrame({"query": ids[low + i[keep]], key: own[j[keep]], "similarity": s[i[keep], j[keep]]})
-
-    found = vectors.select(key, vector).mapInPandas(work, f"query {kind}, {key} {kind}, similarity double")
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        norm = np.linalg.norm(m, axis=1)
+        m, ids, ask = m[norm > 0] / norm[norm > 0, None], pdf["id"].to_numpy()[norm > 0], pdf["ask"].to_numpy(bool)[norm > 0]
+        s = m[ask] @ m[~ask].T
+        own, other = ids[ask], ids[~ask]
+        s[own[:, None] == other[None, :]] = -2
+        best = np.lexsort((np.broadcast_to(other, s.shape), -np.round(s, 9)))[:, :k] if s.size else np.zeros((len(s), 0), int)
+        i, j = np.repeat(np.arange(len(s)), best.shape[1]), best.reshape(-1)
+        keep = s[i, j] > over
+        return pd.DataFrame({"query": own[i[keep]], key: other[j[keep]], "similarity": s[i[keep], j[keep]]})
+
+    found = left.unionByName(right).groupBy("x", "y").applyInPandas(work, f"query {kind}, {key} {kind}, similarity double")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), key))
     return found.withColumn("rn", rank).filter(F.col("rn") <= k)
 
