@@ -202,6 +202,47 @@ def gra06_more(t: Tables) -> DataFrame:
     )
 
 
+DOCUMENT_FAMILIES = """WITH m AS (SELECT DISTINCT entity_type, entity_id, collection, item_id FROM entity_mentions), k AS (SELECT item_id, collection FROM items),
+    sh AS (SELECT a.item_id AS a, b.item_id AS b, a.collection AS ca, b.collection AS cb, least(count(*), 5) AS w FROM m a JOIN m b ON a.entity_type = 'part' AND b.entity_type = 'part' AND a.entity_id = b.entity_id AND a.item_id < b.item_id GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+    c AS (SELECT source_item AS s, target_item AS t, x.collection AS cs, y.collection AS ct FROM references_cited JOIN k x ON x.item_id = source_item JOIN k y ON y.item_id = target_item),
+    f AS (SELECT 1 AS k, 'document_entity' AS family, 'item:' || item_id AS source, 'part:' || entity_id AS target, 1 AS weight FROM m WHERE collection = 'P' AND entity_type = 'part'
+      UNION ALL SELECT 2, 'story_entity', 'item:' || item_id, 'part:' || entity_id, 1 FROM m WHERE collection = 'O' AND entity_type = 'part'
+      UNION ALL SELECT 3, 'story_publication', 'item:' || s, 'item:' || t, 3 FROM c WHERE cs = 'O' AND ct = 'F' UNION ALL SELECT 3, 'story_publication', 'item:' || CASE WHEN ca = 'O' THEN a ELSE b END, 'item:' || CASE WHEN ca = 'O' THEN b ELSE a END, 1 FROM sh WHERE (ca, cb) IN (('O', 'F'), ('F', 'O'))
+      UNION ALL SELECT 4, 'story_document', 'item:' || CASE WHEN ca = 'O' THEN a ELSE b END, 'item:' || CASE WHEN ca = 'O' THEN b ELSE a END, w FROM sh WHERE (ca, cb) IN (('O', 'P'), ('P', 'O'))
+      UNION ALL SELECT 5, 'story_story', 'item:' || a, 'item:' || b, w FROM sh WHERE ca = 'O' AND cb = 'O' UNION ALL SELECT 6, 'stakeholder_item', 'supplier:' || entity_id, 'item:' || item_id, 1 FROM m WHERE entity_type = 'supplier'
+      UNION ALL SELECT 7, 'document_publication', 'item:' || s, 'item:' || t, 6 FROM c WHERE cs = 'P' AND ct = 'F' UNION ALL SELECT 8, 'document_document', 'item:' || s, 'item:' || t, 6 FROM c WHERE cs = 'P' AND ct = 'P'
+      UNION ALL SELECT 9, 'author_document', 'author:' || author_id, 'item:' || item_id, 3 FROM authors_rels WHERE collection = 'P')
+    SELECT family, source, target, CAST(weight AS DOUBLE) AS weight FROM f QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY k, weight DESC, source) = 1"""
+
+
+@query("gra06_document_families", DOCUMENT_FAMILIES)
+def gra06_documents(t: Tables) -> DataFrame:
+    """The nine families of documents (collection P), stories (O) and publications (F): mentions, the strongest link of a story and a
+    publication (a citation before shared entities), shared entities with a cap, citations, authors."""
+    edge = lambda df, s, d, w: df.select(s.alias("source"), d.alias("target"), w.cast("double").alias("weight"))
+    item = lambda c: name("item", c)
+    mentions = t.entity_mentions().select("entity_type", "entity_id", "collection", "item_id").distinct()
+    part = mentions.filter("entity_type = 'part'")
+    kinds = lambda id, c: t.items().select(F.col("item_id").alias(id), F.col("collection").alias(c))
+    shared = graph.pair_counts(part, ["entity_id"], "item_id", 2).join(kinds("a", "ca"), "a").join(kinds("b", "cb"), "b").withColumn("w", F.least("weight", F.lit(5)))
+    cited = t.references_cited().filter("target_item is not null").join(kinds("source_item", "cs"), "source_item").join(kinds("target_item", "ct"), "target_item")
+    first = lambda kind, other: shared.filter(F.col("ca") != F.col("cb")).filter(F.col("ca").isin(kind, other) & F.col("cb").isin(kind, other)).withColumns({"x": F.when(F.col("ca") == kind, F.col("a")).otherwise(F.col("b")), "y": F.when(F.col("ca") == kind, F.col("b")).otherwise(F.col("a"))})
+    links = lambda s, d, w: edge(cited.filter((F.col("cs") == s) & (F.col("ct") == d)), item("source_item"), item("target_item"), F.lit(w))
+    return graph.edge_families(
+        {
+            "document_entity": edge(part.filter("collection = 'P'"), item("item_id"), name("part", "entity_id"), F.lit(1)),
+            "story_entity": edge(part.filter("collection = 'O'"), item("item_id"), name("part", "entity_id"), F.lit(1)),
+            "story_publication": links("O", "F", 3).unionByName(edge(first("O", "F"), item("x"), item("y"), F.lit(1))),
+            "story_document": edge(first("O", "P"), item("x"), item("y"), F.col("w")),
+            "story_story": edge(shared.filter("ca = 'O' and cb = 'O'"), item("a"), item("b"), F.col("w")),
+            "stakeholder_item": edge(mentions.filter("entity_type = 'supplier'"), name("supplier", "entity_id"), item("item_id"), F.lit(1)),
+            "document_publication": links("P", "F", 6),
+            "document_document": links("P", "P", 6),
+            "author_document": edge(t.authors_rels().filter("collection = 'P'"), name("author", "author_id"), item("item_id"), F.lit(3)),
+        }
+    )
+
+
 @query("gra11_carried_communities", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE p_partkey % 7 END AS community FROM part")
 def gra11(t: Tables) -> DataFrame:
     labels = t("part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 7).alias("community"))
