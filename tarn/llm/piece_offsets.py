@@ -109,7 +109,7 @@ class Normaliser:
                     break
                 at += width
             if at == len(data):
-                return b"", np.full(1, len(data), np.int64)
+                return b"", np.zeros(1, np.int64)
         if self.dummy:
             write(self.space, at)
         after_space = self.squeeze
@@ -165,7 +165,7 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """Control ids have no text; one space symbol at the beginning belongs to the dummy prefix."""
+        """Control ids have no text and end a run of byte pieces; one space symbol at the beginning belongs to the dummy prefix."""
         texts, at = self.texts, 0
         while at < len(ids) and ids[at] in self.control:
             at += 1
@@ -177,7 +177,12 @@ class Pieces:
                 at += 1
                 if head[-1] or not self.normalise.squeeze:
                     break
-        return b"".join([*head, *map(texts.__getitem__, ids[at:])]).decode("utf-8", "each byte")
+        out, begin = [], at
+        for k in range(at, len(ids) + 1):  # bytes of one character do not go on behind a control id
+            if k == len(ids) or ids[k] in self.control:
+                out.append(b"".join([*head, *map(texts.__getitem__, ids[begin:k])]).decode("utf-8", "each byte"))
+                head, begin = [], k
+        return "".join(out)
 
 
 _models: dict[str, Pieces] = {}
