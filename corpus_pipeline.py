@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.  ``run`` writes what a stage
 returns to the shared folder and reads it again for the next one.
+
+Defined results, for every stage: a null text is the empty text (too short for the quality rules, so it goes there); rows that
+repeat a key and a text are one class, of which one row stays after the near-duplicate stage; of a class the least key stays, a
+null key last; a key with several texts loses only those that are copies; further columns pass through all stages but the last,
+whatever their names; an empty table stays empty, and the last stage then gives no rows.
 """
 
 from __future__ import annotations
