@@ -25,7 +25,7 @@ import numpy as np
 # magic, version, bytes of a lane's word count, lanes, ids, vocabulary, least word count, crc of ids, crc of payload
 HEADER = struct.Struct("<4sHHIIIIII")
 MAGIC, VERSION = b"TRC3", 1
-LANE_IDS, HASH_BITS, GAIN, REFRESH, GUIDE_BITS = 512, 20, 24, 2, 15
+LANE_IDS, HASH_BITS, GAIN, REFRESH, GUIDE_BITS = 384, 18, 24, 8, 15
 _LOW = np.uint64(1 << 32)
 _WORD = np.uint64(32)
 
@@ -109,7 +109,8 @@ class _Model:
             self.tally[large] = self.tally[large] // 2 + 1
         fresh = ids.astype(np.int32) << 2
         for known, at, hit, own, q in ((self.after1, self.last, self.hit1, self.own1, self.q1), (self.after2, self.slot, self.hit2, self.own2, self.q2)):
-            known[at] = np.where(hit | (q > 0), own + _STEP.take((hit.view(np.int8) << 2) + q), fresh)
+            case = (hit.view(np.int8) << 2) + q
+            known[at] = np.where(case == 0, fresh, own + _STEP.take(case))
         self.waiting.append(ids)
         self.steps += 1
         if self.steps % REFRESH == 0 or self.steps in (1, 2, 4, 8):
