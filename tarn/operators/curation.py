@@ -43,3 +43,42 @@ def coloured_nodes(works: DataFrame, node: str, item: str, area: str) -> DataFra
     counts = works.select(node, item, area).distinct().groupBy(node, area).agg(F.count("*").alias("n"))
     order = F.struct(F.col(area).isNull().cast("int").alias("none"), (-F.col("n")).alias("n"), F.coalesce(area, F.lit("")).alias("a"))
     return counts.groupBy(node).agg(F.sum("n").alias("works"), F.min_by(area, order).alias("area"))
+
+
+def aligned(asked: DataFrame, answers: DataFrame, batch: str, ids: str, found: str) -> DataFrame:
+    """(batch, position, id, answer): what a batch service gave, put to the ids it was asked for by position from 0.  Null answers
+    are ids that were not found; a batch without an answer, or with fewer answers than ids, leaves the rest null."""
+    both = asked.select(batch, F.col(ids).alias("_i")).join(answers.select(batch, F.col(found).alias("_f")), batch, "left")
+    placed = F.transform("_i", lambda id, k: F.struct(k.alias("position"), id.alias("id"), F.try_element_at("_f", k + 1).alias("answer")))
+    return both.select(batch, F.inline(placed))
+
+
+def found_by_kind(rows: DataFrame, kind: str, answer: str = "answer") -> DataFrame:
+    """Per kind (null: unknown) how many were asked for and how many were found."""
+    return rows.groupBy(F.coalesce(kind, F.lit("unknown")).alias("kind")).agg(F.count("*").alias("checked"), F.count(answer).alias("found"))
+
+
+def synthesised_summary(found: dict[str, Column], labels: dict[str, str], least: int = 20) -> Column:
+    """A summary out of what was extracted from a document, or null where it would have ``least`` characters or fewer.
+
+    ``found``: type and dates (strings), places and agencies (lists of strings), concepts (a list of name and role), works (a
+    number).  Named are three places, four concepts (those of the role ``primary topic`` where there are two or more), three
+    agencies of more than two letters, and how many works are cited.
+    """
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    listed = lambda head, names: F.when(F.size(names) > 0, F.concat(F.lit(head), F.array_join(names, ", "), F.lit(".")))
+    named = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)) if labels else F.create_map().cast("map<string,string>")
+    kind = F.coalesce(F.try_element_at(named, found["type"]), F.replace(found["type"], F.lit("_"), F.lit(" ")), F.lit("Document"))
+    dated = F.when(F.coalesce(found["dates"], F.lit("")) != "", F.concat(F.lit(" ("), found["dates"], F.lit(")"))).otherwise("")
+    first = F.slice(F.filter(found["concepts"], lambda c: c["role"] == "primary topic"), 1, 4)
+    concepts = F.transform(F.when(F.size(first) >= 2, first).otherwise(F.slice(found["concepts"], 1, 4)), lambda c: c["name"])
+    agencies = F.slice(F.filter(some(found["agencies"]), lambda a: F.length(a) > 2), 1, 3)
+    works = F.coalesce(found["works"], F.lit(0))
+    cites = F.when(works > 0, F.concat(F.lit("Cites "), works.cast("string"), F.when(works == 1, " external work.").otherwise(" external works.")))
+    whole = F.concat_ws(" ", F.concat(kind, dated, F.lit(".")), listed("Covers ", F.slice(some(found["places"]), 1, 3)), listed("Topics: ", some(concepts)), listed("Agencies: ", agencies), cites)
+    return F.when(F.length(whole) > least, whole)
+
+
+def replaced_summary(old: Column, new: Column, short: int = 100) -> Column:
+    """The new summary where there is one and the old one has fewer characters than ``short``; else the old one."""
+    return F.when(new.isNotNull() & (F.length(F.coalesce(old, F.lit(""))) < short), new).otherwise(old)

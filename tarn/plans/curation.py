@@ -75,3 +75,37 @@ def gra16(t: Tables) -> DataFrame:
     degrees = graph.degrees(graph.pair_counts(rels, ["item_id"], "author_id", 2)).withColumnRenamed("node", "author_id")
     joined = areas.join(degrees, "author_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return joined.withColumn("size", F.round(graph.node_size(F.col("degree")), 6))
+
+
+@query("rst08_aligned_answers", """WITH f AS (SELECT o_custkey, max(o_orderkey) AS found FROM orders WHERE o_totalprice > 250000 GROUP BY 1)
+    SELECT coalesce(c_mktsegment, 'unknown') AS kind, count(*) AS checked, count(found) AS found FROM customer LEFT JOIN f ON o_custkey = c_custkey GROUP BY 1""")
+def rst08(t: Tables) -> DataFrame:
+    """Customers are asked for in one batch a nation; the answers come as a list by position, null where nothing was found."""
+    found = t("orders").filter("o_totalprice > 250000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("found"))
+    batches = t("customer").join(found, "c_custkey", "left").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "found"))).alias("s"))
+    asked, answers = batches.select("c_nationkey", F.col("s.c_custkey").alias("ids")), batches.select("c_nationkey", F.col("s.found").alias("found"))
+    rows = curation.aligned(asked, answers, "c_nationkey", "ids", "found").join(t("customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), "id")
+    return curation.found_by_kind(rows, "c_mktsegment")
+
+
+LINES = "list({0} ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)".format
+
+
+@query("rst11_synthesised_summaries", f"""WITH l AS (SELECT l_orderkey, {LINES('p_name')} AS places, {LINES("{'name': p_type, 'role': l_returnflag}")} AS concepts, {LINES('l_linestatus || s_name')} AS agencies, count(*) FILTER (l_quantity > 25) AS works
+      FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1),
+    p AS (SELECT *, list_slice(list_filter(concepts, lambda c: c.role = 'R'), 1, 4) AS main FROM l),
+    s AS (SELECT o_orderkey, o_orderpriority AS old, CASE o_orderstatus WHEN 'F' THEN 'Finished order' WHEN 'O' THEN 'O' ELSE 'P' END || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ' (' || year(o_orderdate) || ')' END || '.'
+      || coalesce(' Covers ' || array_to_string(list_slice(places, 1, 3), ', ') || '.', '') || coalesce(' Topics: ' || array_to_string(list_transform(CASE WHEN len(main) >= 2 THEN main ELSE list_slice(concepts, 1, 4) END, lambda c: c.name), ', ') || '.', '')
+      || coalesce(' Agencies: ' || array_to_string(list_slice(agencies, 1, 3), ', ') || '.', '') || CASE WHEN works > 1 THEN ' Cites ' || works || ' external works.' WHEN works = 1 THEN ' Cites 1 external work.' ELSE '' END AS new FROM orders LEFT JOIN p ON l_orderkey = o_orderkey)
+    SELECT o_orderkey, CASE WHEN length(new) > 20 THEN new ELSE old END AS summary FROM s""")
+def rst11(t: Tables) -> DataFrame:
+    """An order as a document: its parts are places, their types concepts (of returned lines the primary ones), suppliers agencies."""
+    lines = t("lineitem").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    role = F.when(F.col("l_returnflag") == "R", "primary topic").otherwise("")
+    said = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "p_name", F.struct(F.col("p_type").alias("name"), role.alias("role")).alias("c"), F.concat("l_linestatus", "s_name").alias("s"))))
+    made = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(said.alias("x"), F.count_if(F.col("l_quantity") > 25).alias("works"))
+    docs = t("orders").join(made, "o_orderkey", "left")
+    dates = F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate").cast("string"))
+    found = {"type": F.col("o_orderstatus"), "dates": dates, "places": F.col("x.p_name"), "concepts": F.coalesce("x.c", F.array().cast("array<struct<name:string,role:string>>")), "agencies": F.col("x.s"), "works": F.col("works")}
+    new = curation.synthesised_summary(found, {"F": "Finished order"})
+    return docs.select("o_orderkey", curation.replaced_summary(F.col("o_orderpriority"), new).alias("summary"))

@@ -26,3 +26,28 @@ def test_areas_topics_and_what_is_lacking(spark):
     topics = curation.assigned_topics(items, items.filter("k = 3"), "k", F.col("text"), [("bird", "birds"), (r"\bbee", "bees")])
     assert sorted(map(tuple, topics.collect())) == [(1, "bees"), (1, "birds")]
     assert [r.k for r in curation.lacking(items, items.filter("k < 3"), "k", F.col("text").isNotNull()).orderBy("k").collect()] == [2, 3]
+
+
+def test_answers_by_position(spark):
+    """Null answers, fewer answers than ids, a batch without an answer."""
+    asked = spark.createDataFrame([(1, [10, 11, 12]), (2, [20]), (3, [])], "b int, ids array<int>")
+    answers = spark.createDataFrame([(1, ["x", None])], "b int, found array<string>")
+    rows = curation.aligned(asked, answers, "b", "ids", "found")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, 10, "x"), (1, 1, 11, None), (1, 2, 12, None), (2, 0, 20, None)]
+    counted = curation.found_by_kind(rows.withColumn("kind", F.when(F.col("b") == 1, "a")), "kind")
+    assert sorted(map(tuple, counted.collect())) == [("a", 3, 1), ("unknown", 1, 0)]
+
+
+def test_summaries_of_what_was_extracted(spark):
+    schema = "k int, type string, dates string, places array<string>, concepts array<struct<name:string,role:string>>, agencies array<string>, works int, old string"
+    p = "primary topic"
+    rows = [
+        (1, "mining_permit", "1990", ["A", "", None, "B", "C", "D"], [("x", p), ("y", "o"), ("z", p)], ["US", "EPA", "BLM", "NPS", "FWS"], 1, "short"),
+        (2, "site_visit", "", [], [("x", p), ("y", "o"), (None, "o")], None, 3, "short"),
+        (3, None, None, None, [], None, None, "short"),
+        (4, "mining_permit", "1990", ["A"], [], None, None, "o" * 100),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    new = curation.synthesised_summary({c: F.col(c) for c in ("type", "dates", "places", "concepts", "agencies", "works")}, {"mining_permit": "Mining permit"})
+    got = {r.k: r.s for r in df.select("k", curation.replaced_summary(F.col("old"), new).alias("s")).collect()}
+    assert got == {1: "Mining permit (1990). Covers A, B, C. Topics: x, z. Agencies: EPA, BLM, NPS. Cites 1 external work.", 2: "site visit. Topics: x, y. Cites 3 external works.", 3: "short", 4: "o" * 100}
