@@ -48,19 +48,20 @@ def listing(html: Column) -> Column:
 def numbered_articles(text: Column) -> Column:
     """The entries of a dump of numbered articles (``1. Title`` at the beginning of a line, then lines of the entry): an array of
     number, title and body, in order.  A number counts only if a title follows it on the line; blank lines go."""
-    lines = F.split(text, r"\r?\n")
-    header = r"^\s*(\d{1,4})\.\s+(\S.*)$"
-    start = F.array().cast("array<struct<number:int,title:string,body:string>>")
-
-    def step(done: Column, line: Column) -> Column:
-        opened = F.struct(F.regexp_extract(line, header, 1).cast("int").alias("number"), F.trim(F.regexp_extract(line, header, 2)).alias("title"), F.lit("").alias("body"))
-        last = F.element_at(done, -1)
-        body = F.regexp_replace(F.concat(last["body"], F.lit("\n"), line), r"^\s+|\s+$", "")
-        grown = F.struct(last["number"].alias("number"), last["title"].alias("title"), body.alias("body"))
-        kept = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when(line.rlike(header), F.concat(done, F.array(opened))).when(F.size(done) > 0, F.concat(kept, F.array(grown))).otherwise(done)
-
-    return F.aggregate(lines, start, step)
+    header = r"^\s*(\d{1,9})\.\s+(\S.*)$"
+    named = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  the value is worked once, not for each line
+    end = lambda line: F.regexp_replace(line, r"\s+$", "")
+
+    def entries(lines: Column, starts: Column) -> Column:
+        def entry(at: Column, k: Column) -> Column:
+            line, after = F.get(lines, at), F.coalesce(F.get(starts, k + 1), F.size(lines))
+            body = F.filter(F.transform(F.slice(lines, at + 2, after - at - 1), end), lambda x: x != "")
+            return F.struct(F.regexp_extract(line, header, 1).cast("int").alias("number"), F.trim(F.regexp_extract(line, header, 2)).alias("title"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+", "").alias("body"))
+
+        return F.transform(starts, entry)
+
+    heads = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(header), i)), lambda i: i.isNotNull())
+    return named(F.split(text, r"\r?\n"), lambda lines: named(heads(lines), lambda starts: entries(lines, starts)))
 
 
 def read_graphs(spark: SparkSession, path: str, node: str = "id STRING, label STRING, nodeType STRING, community BIGINT", edge: str = "source STRING, target STRING, weight DOUBLE") -> tuple[DataFrame, DataFrame]:

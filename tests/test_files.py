@@ -70,3 +70,13 @@ def test_numbered_articles_need_a_title(spark):
     text = "Front matter\n12\n1. First one\nbody 2. not a header\n\n2.\n2. Second\nline\n"
     rows = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(files.numbered_articles(F.col("t")).alias("a")).collect()
     assert [tuple(x) for x in rows[0].a] == [(1, "First one", "body 2. not a header\n2."), (2, "Second", "line")] and rows[1].a == [] and rows[2].a is None
+
+
+def test_entries_of_a_long_dump_are_whole(spark):
+    """Numbers over 9,999 are entries too, blank lines go, and a long dump takes one pass over its lines."""
+    n = 12_000
+    text = "Preface\n" + "".join(f" {k}. Title {k}  \n\n  first {k} \n \t\n  second\n" for k in range(1, n + 1))
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, text string")
+    got = {r.id: r.found for r in df.select("id", files.numbered_articles(F.col("text")).alias("found")).collect()}
+    assert [tuple(e) for e in got[1]] == [(k, f"Title {k}", f"first {k}\n  second") for k in range(1, n + 1)]
+    assert got[2] == [] and got[3] is None
