@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.operators.storage import checkpoints
+from tarn.operators.storage import checkpoints, stored
 
 HUB = 2_000  # members of an item from which its pairs are spread over several tasks
+SET = 64  # items of a node up to which it is found by two of its items
+DEALT = 2_000_000  # rows of a task
 
 
 def co_occurring(mentions: DataFrame, entity_type: str, entity_id: int, target_type: str) -> DataFrame:
@@ -31,24 +33,104 @@ def pair_counts(members: DataFrame, item: list[str], node: str, at_least: int =
     if most is not None:
         small = own.groupBy(*item).agg(F.count("*").alias("_m")).filter(F.col("_m") <= most).drop("_m")
         own = own.join(small, item, "left_semi")
-    sides = lambda df: (df.withColumnRenamed("_n", "a"), df.withColumnRenamed("_n", "b"))
-    sizes = own.groupBy(*item).agg(F.count("*").alias("_m")).filter(F.col("_m") > HUB)
-    if sizes.isEmpty():
-        a, b = sides(own)
-        pairs = a.join(b, item).filter("a < b").select("a", "b")
-    else:
-        a, b = sides(own.join(sizes, item, "left_anti"))
-        pairs = a.join(b, item).filter("a < b").select("a", "b").unionByName(_hub_pairs(own.join(sizes, item), item))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= at_least)
-
-
-def _hub_pairs(members: DataFrame, item: list[str]) -> DataFrame:
-    """All pairs (a < b) of the members ``_n`` of large items (``_m`` members)."""
+    return _counted(stored(own, "members"), None, item, at_least)
+
+
+def shared_counts(left: DataFrame, right: DataFrame, item: list[str], node: str, at_least: int = 1) -> DataFrame:
+    """Pairs of a node of the left (a) and one of the right (b) with the number of items that both are in; see ``pair_counts``."""
+    sides = (df.select(*item, F.col(node).alias("_n")).filter("_n is not null").distinct() for df in (left, right))
+    return _counted(*(stored(df, "members") for df in sides), item, at_least)
+
+
+def _counted(left: DataFrame, right: DataFrame | None, item: list[str], at_least: int) -> DataFrame:
+    """(a, b, weight) of the members (item, ``_n``) of two sides, or of one side with itself.
+
+    Pairs that need two common items or more, of nodes with up to SET items, can also meet by two items at once: s common items
+    are s(s - 1)/2 common twos, so the twos are counted instead.  This way is taken where it makes fewer rows: nodes of few
+    items each, items with many nodes.  Pairs with a larger node meet by single items as before.
+    """
+    plain = _met(left, right, item)
+    if at_least >= 2:
+        both = left if right is None else left.unionByName(right)
+        sizes = stored(both.groupBy("_n").agg(F.count("*").alias("_m")), "member-sizes")
+        twos = sizes.filter(F.col("_m") <= SET).agg(F.sum(F.col("_m") * (F.col("_m") - 1) / 2)).first()[0] or 0
+        if 4 * twos < plain[1]:
+            paired = [None if df is None else stored(_twos(df.join(sizes.filter(F.col("_m") <= SET), "_n"), item), "member-twos") for df in (left, right)]
+            met = _met(*paired, ["_u", "_v"])
+            if 4 * met[1] < plain[1]:
+                common = F.round((1 + F.sqrt(1 + 8 * F.col("weight"))) / 2).cast("long")
+                near = _summed(met).withColumn("weight", common).filter(F.col("weight") >= at_least)
+                large = sizes.filter(F.col("_m") > SET).select("_n", F.lit(True).alias("_big"))
+                if large.isEmpty():
+                    return near
+                marked = [None if df is None else df.join(large, "_n", "left").withColumn("_big", F.coalesce("_big", F.lit(False))) for df in (left, right)]
+                far = _summed(_met(*marked, item, F.col("a_big") | F.col("b_big")))
+                return near.unionByName(far.filter(F.col("weight") >= at_least))
+    return _summed(plain).filter(F.col("weight") >= at_least)
+
+
+def _twos(members: DataFrame, item: list[str]) -> DataFrame:
+    """(_n, _u, _v) of every two items of a node; null items are in no pair."""
+    whole = members.dropna(subset=item).groupBy("_n").agg(F.array_sort(F.collect_list(F.struct(*item))).alias("_s"))
+    before = lambda x, i: F.transform(F.slice("_s", F.lit(1), i), lambda y: F.struct(y.alias("_u"), x.alias("_v")))
+    return whole.select("_n", F.inline(F.flatten(F.transform("_s", before))))
+
+
+def pair_counts_by_class(members: DataFrame, item: list[str], node: str, at_least: int = 1) -> DataFrame:
+    """As ``pair_counts``, for nodes that often have all items alike: such nodes are one class, classes are paired instead of
+    nodes, and in the end their pairs are spread over the nodes where they lie, in blocks of up to HUB by HUB, without a shuffle."""
+    own = stored(members.select(*item, F.col(node).alias("_n")).dropna(subset=["_n", *item]).distinct(), "members")
+    sets = own.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct(*item))).alias("_s")).select("_n", F.size("_s").alias("_w"), F.unhex(F.md5(F.to_json(F.col("_s")))).alias("_k"))
+    sets = stored(sets, "member-sets")
+    classes = stored(sets.groupBy("_k").agg(F.min("_n").alias("_r"), F.count("*").alias("_m"), F.first("_w").cast("long").alias("weight")), "member-classes")
+    chunk = F.pmod(F.xxhash64("_n"), F.ceil(F.col("_m") / HUB)).cast("int").alias("_c")
+    blocks = stored(sets.join(classes, "_k").select("_r", "_n", chunk).groupBy("_r", "_c").agg(F.array_sort(F.collect_list("_n")).alias("_ns")), "member-blocks")
+    across = pair_counts(own.join(classes.select(F.col("_r").alias("_n")), "_n", "left_semi"), item, "_n", at_least)
+    inside = classes.filter((F.col("_m") > 1) & (F.col("weight") >= at_least)).select(F.col("_r").alias("a"), F.col("_r").alias("b"), "weight")
+    side = lambda k: blocks.select(F.col("_r").alias(k), F.col("_c").alias(f"{k}_c"), F.col("_ns").alias(f"{k}_ns"))
+    met = across.unionByName(inside).join(side("a"), "a").join(side("b"), "b").filter("a <> b or a_c <= b_c")
+    dealt = met.repartition(F.xxhash64("a", "b", "a_c", "b_c"))
+    alike = (F.col("a") == F.col("b")) & (F.col("a_c") == F.col("b_c"))
+    spread = dealt.select("b_ns", "weight", alike.alias("_alike"), F.explode("a_ns").alias("_x")).select("_x", "weight", "_alike", F.explode("b_ns").alias("_y"))
+    return spread.filter("not _alike or _x < _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "weight")
+
+
+def _met(left: DataFrame, right: DataFrame | None, item: list[str], also: Column | None = None) -> tuple[DataFrame, int]:
+    """(a, b) for every item that a node of the left and one of the right are in (of one side with itself: a < b), and how many
+    rows that may be; ``also``: a condition on the columns ``_big`` of both."""
+    both = left if right is None else left.unionByName(right)
+    sizes = both.groupBy(*item).agg(F.count("*").alias("_m"))
+    rows, pairs, top = sizes.agg(F.sum("_m"), F.sum(F.col("_m").cast("double") * (F.col("_m") - 1) / 2), F.max("_m")).first()
+    fits = F.lit(True) if right is not None else F.col("a") < F.col("b")
+    fits = fits if also is None else fits & also
+    named = lambda df, k: df.withColumnsRenamed({"_n": k, "_big": f"{k}_big"})
+    hubs = sizes.filter(F.col("_m") > HUB)
+    plain = (lambda df: df) if (top or 0) <= HUB else (lambda df: df.join(hubs, item, "left_anti"))
+    dealt = lambda df, k: named(plain(df), k).repartition(_parts(df, rows or 0), *item)
+    out = dealt(left, "a").join(dealt(left if right is None else right, "b"), item).filter(fits).select("a", "b")
+    if (top or 0) > HUB:
+        out = out.unionByName(_hub_pairs(named(left.join(hubs, item), "a"), named((left if right is None else right).join(hubs, item), "b"), item).filter(fits).select("a", "b"))
+    return out, int(pairs or 0)
+
+
+def _hub_pairs(left: DataFrame, right: DataFrame, item: list[str]) -> DataFrame:
+    """All pairs of the members a and b of large items (``_m`` members)."""
     chunks = F.ceil(F.col("_m") / HUB).cast("int")
-    dealt = members.withColumn("_c", F.pmod(F.xxhash64("_n"), chunks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    left = dealt.select(*item, F.col("_c").alias("_x"), F.col("_o").alias("_y"), F.col("_n").alias("a"))
-    right = dealt.select(*item, F.col("_o").alias("_x"), F.col("_c").alias("_y"), F.col("_n").alias("b"))
-    return left.join(right, [*item, "_x", "_y"]).filter("a < b").select("a", "b")
+    dealt = lambda df, k: df.withColumn("_c", F.pmod(F.xxhash64(k), chunks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("_m")
+    return dealt(left, "a").withColumnsRenamed({"_c": "_x", "_o": "_y"}).join(dealt(right, "b").withColumnsRenamed({"_c": "_y", "_o": "_x"}), [*item, "_x", "_y"])
+
+
+def _parts(df: DataFrame, rows: int) -> int:
+    """Partitions of at most DEALT rows, and not more small ones than Spark would take."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(usual, rows // 50_000 + 1), rows // DEALT + 1)
+
+
+def _summed(met: tuple[DataFrame, int]) -> DataFrame:
+    """(a, b, weight).  The pairs are dealt before they are counted, into as many parts as there are pairs for, so that what a task
+    holds does not grow with the input."""
+    pairs, rows = met
+    return pairs.repartition(_parts(pairs, rows), "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def undirected(edges: DataFrame, order: list[Column], a: str = "a", b: str = "b") -> DataFrame:

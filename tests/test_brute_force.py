@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -131,6 +132,37 @@ def test_pairs_of_a_hub_are_those_of_the_plain_join(spark, monkeypatch):
     assert sorted(map(tuple, graph.pair_counts(members, ["item"], "n").collect())) == plain and len(plain) == 60 * 59 // 2
 
 
+@pytest.mark.parametrize("hub, most, at_least", [(2000, 64, 2), (7, 3, 2), (7, 64, 3), (2000, 1, 1)])
+def test_pairs_by_two_items_and_by_classes(spark, monkeypatch, hub, most, at_least):
+    """Few items a node and many nodes an item; nodes alike; nulls; large nodes beside small ones."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    monkeypatch.setattr(graph, "SET", most)
+    draw = random.Random(5)
+    rows = [(draw.choice("xyz"), draw.randrange(25), n) for n in range(150) for _ in range(draw.randint(1, 4))]
+    rows += [("x", k, n) for n in (200, 201, 202, 203) for k in range(9)] + [("x", None, 300), ("x", None, 301), ("y", None, 300), ("y", None, 301), ("x", 1, None)]
+    items = {}
+    for s, k, n in rows:
+        if k is not None and n is not None:
+            items.setdefault(n, set()).add((s, k))
+    want = sorted((a, b, len(items[a] & items[b])) for a in items for b in items if a < b and len(items[a] & items[b]) >= at_least)
+    members = spark.createDataFrame(rows, "s string, k long, n long")
+    assert sorted(map(tuple, graph.pair_counts(members, ["s", "k"], "n", at_least).collect())) == want
+    assert sorted(map(tuple, graph.pair_counts_by_class(members, ["s", "k"], "n", at_least).collect())) == want
+    even, odd = members.filter("n % 2 = 0"), members.filter("n % 2 = 1")
+    across = sorted((a, b, len(items[a] & items[b])) for a in items for b in items if a % 2 == 0 and b % 2 == 1 and len(items[a] & items[b]) >= at_least)
+    assert sorted(map(tuple, graph.shared_counts(even, odd, ["s", "k"], "n", at_least).collect())) == across
+
+
+def test_pairs_of_few_items_are_not_made_item_by_item(spark, monkeypatch):
+    """300 nodes of one item have 44,850 pairs; those that share two items are three, and no more rows are counted."""
+    counted = []
+    summed = graph._summed
+    monkeypatch.setattr(graph, "_summed", lambda met: counted.append(met[1]) or summed(met))
+    rows = [(0, n) for n in range(300)] + [(1000 + n, n) for n in range(300)] + [(5000, 1), (5000, 2), (5000, 3)]
+    got = graph.pair_counts(spark.createDataFrame(rows, "item long, n long"), ["item"], "n", 2).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 2), (1, 3, 2), (2, 3, 2)] and sum(counted) < 100
+
+
 def test_article_text(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet").select("html").collect()
     odd = ["<p>a&amp;lt;b</p><script>x<y</script>", "<article>one<br/>two</p>three</article> outside", "", "no tags &nbsp; &quot;q&quot;"]
