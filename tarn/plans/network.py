@@ -43,10 +43,9 @@ def joi10(t: Tables) -> DataFrame:
     SELECT a.item_id AS publication, b.item_id AS dataset, count(*) AS shared FROM d a JOIN d b USING (entity_type, entity_id) WHERE a.collection = 'F' AND b.collection = 'P' GROUP BY 1, 2 HAVING count(*) >= 2""")
 def joi11(t: Tables) -> DataFrame:
     """Entities of all types that an item of one collection shares with one of another."""
-    own = t.entity_mentions().select("entity_type", "entity_id", "collection", "item_id").distinct()
-    of = lambda c, n: own.filter(F.col("collection") == c).select("entity_type", "entity_id", F.col("item_id").alias(n))
-    both = of("F", "publication").join(of("P", "dataset"), ["entity_type", "entity_id"])
-    return both.groupBy("publication", "dataset").agg(F.count("*").alias("shared")).filter("shared >= 2")
+    of = lambda c: t.entity_mentions().filter(F.col("collection") == c)
+    shared = graph.shared_counts(of("F"), of("P"), ["entity_type", "entity_id"], "item_id", 2)
+    return shared.withColumnsRenamed({"a": "publication", "b": "dataset", "weight": "shared"})
 
 
 @query("joi15_lateral_aggregates", """SELECT c_custkey, coalesce(o.n, 0) AS orders, o.last, coalesce(r.n, 0) AS cited FROM customer
