@@ -147,3 +147,16 @@ def test_tables_change_together_or_not_at_all(spark, tmp_path):
     assert versions.current(spark, str(tmp_path / "none")) == (0, {})
     tree = spark.createDataFrame([(10, "root", None), (11, "leaf", "root"), (12, "odd", "nowhere"), (13, "root", None)], "id long, name string, parent string")
     assert {r.id: r.parent_id for r in versions.with_parents(tree, "name", "parent").collect()} == {10: None, 11: 10, 12: None, 13: None}
+
+
+def test_postings_are_made_of_bounded_pieces(monkeypatch):
+    """Whatever the rows of a batch, a piece has at most one row over the bound; no row is lost and their order stays."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "WORDS", 50)
+    lists = [["w"] * (k * 7 % 40) for k in range(300)] + [["w"] * 500, None, []]
+    batch = pa.record_batch({"id": pa.array(range(len(lists))), "f0": pa.array(lists, pa.list_(pa.string())), "f1": pa.array([["x"]] * len(lists), pa.list_(pa.string()))})
+    pieces = list(text_index._slices(iter([batch, batch.slice(0, 0)]), 2))
+    assert [i for p in pieces for i in p["id"].to_pylist()] == list(range(len(lists)))
+    sizes = [sum(len(x or []) + 1 for x in p["f0"].to_pylist()) for p in pieces]
+    assert len(pieces) > 50 and all(s < 50 + 41 or s >= 500 for s in sizes)
