@@ -11,6 +11,7 @@ from tarn.operators.storage import stored
 
 
 SHORT = 24  # sets up to this size meet by pairs of tokens, larger ones by single tokens
+SIZED = 0.7  # similarity from which pairs of tokens are keys for certain sizes only
 
 
 def _overlap(t: float, n: Column, m: Column) -> Column:
@@ -35,11 +36,16 @@ def _distinct_sets(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def _keyed(sets: DataFrame, t: float) -> DataFrame:
-    """(key, sid, l, r, n, at, shared): what a set can be found by, the place of the key's last token and how many tokens the key has.
+    """(key, sid, l, r, n, at, shared, own, other): what a set can be found by, the place of the key's last token, how many tokens the
+    key has, and for which sizes of this and of the other set it is of use (0: any).
 
     Two sets that share o tokens or more, ordered alike, have their first k common tokens among the first n - o + k of each.
     Short sets meet by their first two common tokens: such pairs are far rarer than the tokens, so frequent tokens make few
     candidates.  Pairs that need to share only one token, and those with a set over SHORT, meet by the first.
+
+    Tokens before a key's last one that are not in it are not shared, so a key at a later place is of use for few sizes of the other
+    set or for none.  From SIZED on these sizes are few, and sets meet by key and sizes: two frequent tokens that come
+    after a rare one are then no key of all the sets that have them.
     """
     n = F.col("n")
     least = F.greatest(F.ceil(n * t - 1e-9), F.lit(1)).cast("int")
@@ -51,7 +57,13 @@ def _keyed(sets: DataFrame, t: float) -> DataFrame:
     none = F.array().cast("array<struct<key:bigint,at:int,shared:int>>")
     alone = (n > t * SHORT - 1e-9) | (_overlap(t, n, least) == 1)
     keys = F.concat(F.when(alone, single).otherwise(none), F.when((n <= SHORT) & (n > 1), double).otherwise(none))
-    return sets.select("sid", "l", "r", "n", F.inline(keys))
+    found = sets.select("sid", "l", "r", "n", F.inline(keys))
+    two = F.col("shared") == 2
+    if t < SIZED:
+        return found.withColumns({"own": F.lit(0), "other": F.lit(0)})
+    most = F.least(F.floor(n / t + 1e-9).cast("int"), F.lit(SHORT))
+    use = F.filter(F.sequence(F.least(least, most), most), lambda m: 2 + n - F.col("at") >= _overlap(t, n, m))
+    return found.withColumns({"own": F.when(two, n).otherwise(0), "other": F.explode(F.when(two, use).otherwise(F.array(F.lit(0))))})
 
 
 def candidate_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -60,13 +72,14 @@ def candidate_sets(sets: DataFrame, threshold: float) -> DataFrame:
     The keys lie in the shared folder, so Spark splits the rows of a key that very many sets have.
     """
     keyed = stored(_keyed(sets, threshold), "set-keys")
-    x, y = (keyed.select("key", "shared", *(F.col(c).alias(f"{c}{k}") for c in ("sid", "l", "r", "n", "at"))) for k in ("x", "y"))
+    met = {"x": ("own", "other"), "y": ("other", "own")}
+    x, y = (keyed.select("key", "shared", *(F.col(c).alias(f"size{i}") for i, c in enumerate(met[k])), *(F.col(c).alias(f"{c}{k}") for c in ("sid", "l", "r", "n", "at"))) for k in ("x", "y"))
     need = _overlap(threshold, F.col("nx"), F.col("ny"))
     two = (F.greatest("nx", "ny") <= SHORT) & (need >= 2)
     reach = F.col("shared") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= need
     sized = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
     sides = (F.col("lx") & F.col("ry")) | (F.col("ly") & F.col("rx"))
-    met = x.join(y, ["key", "shared"]).filter((F.col("sidx") < F.col("sidy")) & sides & sized & reach & (two == (F.col("shared") == 2)))
+    met = x.join(y, ["key", "shared", "size0", "size1"]).filter((F.col("sidx") < F.col("sidy")) & sides & sized & reach & (two == (F.col("shared") == 2)))
     return met.select(F.col("sidx").alias("x"), F.col("sidy").alias("y")).distinct()
 
 

@@ -74,3 +74,17 @@ def test_years_and_ties_of_records(spark):
     assert {r.id for r in matching.duplicates(records, existing, 0.85).filter("duplicate").collect()} == {1, 2, 3, 4, 6, 7}
     empty = existing.limit(0)
     assert {r.match_id for r in resolve.match_records(records, empty).collect()} == {None} and resolve.new_records(empty, existing).collect() == []
+
+
+def test_frequent_tokens_after_a_rare_one_are_no_key(spark, tmp_path):
+    """Titles of one frequent run of words and a rare one each: no two are similar, and the keys that they share do not grow with
+    their number.  Pairs with one word more are all found."""
+    run = [f"w{k}" for k in range(8)]
+    rows = [(n, [*run, f"rare{n:04}"]) for n in range(400)] + [(1000 + n, [*run, f"rare{n:04}", "more"]) for n in range(0, 400, 2)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    sets, _, _ = resolve._distinct_sets(df, df)
+    keyed = resolve._keyed(sets, 0.85)
+    met = keyed.groupBy("key", "own", "other").count().alias("x").join(keyed.groupBy("key", F.col("own").alias("other"), F.col("other").alias("own")).count().alias("y"), ["key", "own", "other"])
+    assert met.agg(F.sum(F.col("x.count") * F.col("y.count"))).first()[0] < 20 * len(rows)
+    got = sorted((r.left_id, r.right_id) for r in resolve.set_similarity_join(df, df, 0.85).collect() if r.left_id < r.right_id)
+    assert got == [(n, 1000 + n) for n in range(0, 400, 2)]
