@@ -19,20 +19,29 @@ def _overlap(t: float, n: Column, m: Column) -> Column:
     return F.greatest(F.ceil((n + m) * (t / (1 + t)) - 1e-9), F.lit(1)).cast("int")
 
 
+def _members(df: DataFrame, tokens: Column, *more: str) -> DataFrame:
+    """Rows with the token set that they have (sid, tokens); both are null for null and empty sets.  Read from the shared folder
+    from here on, so that the texts are worked once, and dealt, so that large row groups of a file are no large tasks."""
+    kept = F.when(F.size("tokens") > 0, F.col("tokens"))
+    plain = df.repartition(F.xxhash64("id")).select("id", *more, F.array_sort(tokens).alias("tokens")).withColumn("tokens", kept)
+    return stored(plain.withColumn("sid", F.unhex(F.md5(F.to_json("tokens")))), "token-sets")
+
+
 def _distinct_sets(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each different token set once (sid, tokens from rare to common, n, l and r: which sides have it), and the members of
-    either side (sid, id)."""
-    members = []
-    for df in (left, right):
-        plain = df.filter(F.col("tokens").isNotNull() & (F.size("tokens") > 0)).select("id", F.array_sort("tokens").alias("tokens"))
-        members.append(stored(plain.select("id", F.unhex(F.md5(F.to_json("tokens"))).alias("sid"), "tokens"), "token-sets"))
-    sides = [m.select("sid", "tokens", F.lit(k == 0).alias("l"), F.lit(k == 1).alias("r")) for k, m in enumerate(members)]
+    """``_ordered_sets`` of two sides (id, tokens), and the members of either (sid, id)."""
+    members = [_members(df, F.col("tokens")) for df in (left, right)]
+    return _ordered_sets(*members), *(m.filter("sid is not null").select("sid", "id") for m in members)
+
+
+def _ordered_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Of the members of two sides each different token set once (sid, tokens from rare to common, n, l and r: which sides have it)."""
+    sides = [m.filter("sid is not null").select("sid", "tokens", F.lit(k == 0).alias("l"), F.lit(k == 1).alias("r")) for k, m in enumerate((left, right))]
     sets = sides[0].unionByName(sides[1]).groupBy("sid", "tokens").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     places = stored(sets.select("sid", "l", "r", F.explode("tokens").alias("token")), "token-places")
     frequency = stored(places.groupBy("token").agg(F.count("*").alias("f")), "token-frequency")
     ordered = places.join(frequency, "token").groupBy("sid", "l", "r").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("o"))
     found = ordered.select("sid", "l", "r", F.col("o.token").alias("tokens"), F.size("o").alias("n"))
-    return stored(found, "ordered-sets"), members[0].drop("tokens"), members[1].drop("tokens")
+    return stored(found, "ordered-sets")
 
 
 def _keyed(sets: DataFrame, t: float) -> DataFrame:
@@ -137,20 +146,24 @@ def match_records(records: DataFrame, candidates: DataFrame, years: int = 1) ->
 
     In order: equal DOI (exact); title over 0.9 with years at most ``years`` apart or unknown (high over 0.95, else fuzzy),
     the best one; title over 0.95 whatever the year (fuzzy).  Null keys match nothing; ties go to the least candidate.
+    Titles are similar by their sets of words, so sets are matched, and of a set only the years that its rows have.
     """
-    doi = lambda df: df.select("id", X.normal_doi(F.col("doi")).alias("k")).filter("k is not null")
-    first = doi(candidates).groupBy("k").agg(F.min("id").alias("match_id"))
-    exact = doi(records).join(first, "k").select("id", "match_id", F.lit(1).alias("tier"), F.lit(1.0).alias("similarity"))
-    titled = lambda df: with_group(df.filter(X.normal_title(F.col("title")) != "").select("id", "title", "year"), "year")
-    asked, known = titled(records), titled(candidates)
-    near = F.coalesce(F.abs(F.col("year_l") - F.col("year_r")) <= years, F.lit(True))
-    pairs = group_pairs(asked, known, 0.9, "year").withColumn("tier", F.when(near, 2).when(F.col("similarity") > 0.95, 3)).filter("tier is not null")
-    named = pairs.join(known.groupBy(F.col("_g").alias("right_g")).agg(F.min("id").alias("match_id")), "right_g")
-    chosen = named.groupBy(F.col("left_g").alias("_g")).agg(F.min_by(F.struct("match_id", "tier", "similarity"), F.struct("tier", -F.col("similarity"), "match_id")).alias("b"))
-    by_title = asked.join(chosen, "_g").select("id", "b.*")
-    best = exact.unionByName(by_title.join(exact.select("id"), "id", "left_anti"))
-    confidence = F.when(F.col("tier") == 1, "exact").when((F.col("tier") == 2) & (F.col("similarity") > 0.95), "high").when(F.col("tier").isNotNull(), "fuzzy").otherwise("none")
-    return records.select("id").join(best, "id", "left").select("id", "match_id", confidence.alias("confidence"), F.round("similarity", 6).alias("similarity"))
+    keyed = lambda df: _members(df.withColumn("k", X.normal_doi(F.col("doi"))), X.title_words(F.col("title")), "k", "year")
+    asked, known = keyed(records), keyed(candidates)
+    first = known.filter("k is not null").groupBy("k").agg(F.min("id").alias("exact_id"))
+    exact = asked.filter("k is not null").join(first, "k").select("id", "exact_id")
+    side = lambda df, name: df.filter("sid is not null").groupBy(F.col("sid").alias(f"{name}_sid"), F.col("year").alias(f"{name}_year"))
+    near = F.coalesce(F.abs(F.col("left_year") - F.col("right_year")) <= years, F.lit(True))
+    pairs = similar_sets(_ordered_sets(asked, known), 0.9).join(side(asked, "left").agg(F.lit(1).alias("_one")), "left_sid")
+    named = pairs.join(side(known, "right").agg(F.min("id").alias("match_id")), "right_sid")
+    tiered = named.withColumn("tier", F.when(near, 2).when(F.col("similarity") > 0.95, 3)).filter("tier is not null")
+    chosen = tiered.groupBy("left_sid", "left_year").agg(F.min_by(F.struct("match_id", "tier", "similarity"), F.struct("tier", -F.col("similarity"), "match_id")).alias("b"))
+    titled = asked.filter("sid is not null").join(chosen, (F.col("sid") == F.col("left_sid")) & F.col("year").eqNullSafe(F.col("left_year"))).select("id", "b")
+    best = asked.select("id").join(exact, "id", "left").join(titled, "id", "left")
+    by_doi = F.col("exact_id").isNotNull()
+    confidence = F.when(by_doi, "exact").when((F.col("b.tier") == 2) & (F.col("b.similarity") > 0.95), "high").when(F.col("b").isNotNull(), "fuzzy").otherwise("none")
+    similarity = F.when(by_doi, F.lit(1.0)).otherwise(F.round("b.similarity", 6))
+    return best.select("id", F.coalesce("exact_id", "b.match_id").alias("match_id"), confidence.alias("confidence"), similarity.alias("similarity"))
 
 
 def new_records(records: DataFrame, existing: DataFrame, threshold: float = 0.85, years: int = 2) -> DataFrame:
