@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from tarn.operators import resolve
+from tarn.operators import linking, resolve
 
 
 def plan(df) -> str:
@@ -19,3 +21,13 @@ def test_titles_of_records_are_worked_once(spark):
     found = resolve.match_records(records, known)
     assert "regexp_replace" not in plan(found)
     assert {r.id: (r.match_id, r.confidence, r.similarity) for r in found.collect()} == {1: (10, "high", 1.0), 2: (10, "high", 1.0), 3: (13, "exact", 1.0), 4: (None, "none", None), 5: (10, "fuzzy", 1.0)}
+
+
+def test_phrases_in_a_long_text(spark):
+    """The work for a text grows with its words; it grew with their square.  Equal phrases, repeats and the text's end count."""
+    docs = spark.createDataFrame([(2, "b a a"), (3, None), (4, "...")], "doc_id long, text string").unionByName(spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.expr("array_join(transform(sequence(1, 200000), i -> if(i % 50000 = 0, 'a', if(i % 50000 = 1, 'b', 'c'))), ' ')").alias("text")))
+    phrases = spark.createDataFrame([(7, "A b"), (8, "a, B"), (9, "c a"), (10, "a"), (11, "c b"), (12, "b a a a"), (13, "b c c c"), (14, "!")], "phrase_id long, phrase string")
+    began = time.monotonic()
+    found = {(r.item_id, r.phrase_id): (r.places, r.first) for r in linking.phrase_counts(docs, phrases, "doc_id", "text").collect()}
+    assert time.monotonic() - began < 40
+    assert found == {(1, 7): (3, 50_000), (1, 8): (3, 50_000), (1, 9): (4, 49_999), (1, 10): (4, 50_000), (1, 13): (4, 1), (2, 10): (2, 2)}
