@@ -89,7 +89,7 @@ def joi14(t: Tables) -> DataFrame:
     AND a.p_partkey < b.p_partkey AND a.p_size = b.p_size""")
 def joi19(t: Tables) -> DataFrame:
     keyed = t("part").select("p_partkey", "p_size", F.regexp_replace(F.lower("p_name"), "s$", "").alias("k"))
-    return keyed.withColumnRenamed("p_partkey", "a").join(keyed.withColumnRenamed("p_partkey", "b"), ["k", "p_size"]).filter("a < b").select("a", "b")
+    return graph.equal_pairs(keyed, ["k", "p_size"], "p_partkey")
 
 
 @query("joi21_near_years", """SELECT a.item_id AS a, b.item_id AS b FROM items a JOIN items b ON a.owner_id = b.owner_id AND a.subtype = b.subtype AND a.item_id < b.item_id

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tarn.operators import linking, resolve
+from tarn.operators import graph, linking, resolve
 
 
 def plan(df) -> str:
@@ -31,3 +31,12 @@ def test_phrases_in_a_long_text(spark):
     found = {(r.item_id, r.phrase_id): (r.places, r.first) for r in linking.phrase_counts(docs, phrases, "doc_id", "text").collect()}
     assert time.monotonic() - began < 40
     assert found == {(1, 7): (3, 50_000), (1, 8): (3, 50_000), (1, 9): (4, 49_999), (1, 10): (4, 50_000), (1, 13): (4, 1), (2, 10): (2, 2)}
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """A thousand rows of four keys are few, their 124,500 pairs are not; rows without a key are in no pair."""
+    monkeypatch.setattr(graph, "DEALT", 10_000)
+    rows = spark.range(1000).select("id", (F.col("id") % 4).alias("k"), F.when(F.col("id") >= 0, F.lit("x")).alias("j"))
+    found = graph.equal_pairs(rows.unionByName(spark.createDataFrame([(2000, None, "x"), (2001, None, "x")], "id long, k long, j string")), ["k", "j"], "id")
+    assert found.filter("a % 4 = b % 4 and a < b").distinct().count() == found.count() == 4 * 250 * 249 // 2
+    assert ", 13" in plan(found)
