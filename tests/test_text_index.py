@@ -4,11 +4,17 @@ import math
 import re
 from collections import defaultdict
 
+import duckdb
+import pyarrow as pa
 import pytest
+from oracle import FOLDER
 from pyspark.sql import functions as F
 
+from tarn.functions import stemmer
 from tarn.functions.stemmer import stem
 from tarn.operators import search, text_index
+from tarn.plans import searching  # noqa: F401  registers its queries
+from tarn.plans.registry import QUERIES
 from tarn.sources import versions
 
 # Pairs of the stemmer's published sample vocabulary.
@@ -160,3 +166,26 @@ def test_postings_are_made_of_bounded_pieces(monkeypatch):
     assert [i for p in pieces for i in p["id"].to_pylist()] == list(range(len(lists)))
     sizes = [sum(len(x or []) + 1 for x in p["f0"].to_pylist()) for p in pieces]
     assert len(pieces) > 50 and all(s < 50 + 41 or s >= 500 for s in sizes)
+
+
+def test_stems_in_sql():
+    """The SQL has every step of the stemmer: endings of all steps behind roots of many shapes, and all words with forms of their own."""
+    roots = ["", "b", "tr", "ay", "yy", "kn", "hop", "hopp", "fall", "plast", "relat", "gener", "communi", "arsenal", "élan", "sly", "boy", "agre", "siz", "troubl", "rat", "ox", "x1", "apolog", "humour"]
+    endings = ["", *stemmer.STEP_2, *stemmer.STEP_3, *stemmer.STEP_4, *"e y s es ed ing ingly edly eed eedly ies ied sses us ll".split()]
+    words = {r + a + b for r in roots for a in endings for b in endings} | {*stemmer.FORMS, *stemmer.SETTLED, *SAMPLE} - {""}
+    con = duckdb.connect()
+    con.register("w", pa.table({"word": sorted(words - {""})}))
+    found = dict(con.execute(stemmer.stem_sql("SELECT word FROM w")).fetchall())
+    assert found == {w: stem(w) for w in words - {""}}
+
+
+def test_the_index_query_has_stems_and_words(spark):
+    """Every word counts twice: as it stands, and unless it is a stop word by its stem."""
+    own, stems = {(r.language, r.term): r for r in QUERIES["fts01_stored_index"](spark, FOLDER).collect()}, defaultdict(lambda: [0, 0, 0])
+    words = [r for (language, _), r in own.items() if language == "simple"]
+    for r in words:
+        if r.term not in search.STOP_WORDS:
+            for k, n in enumerate((r.places, r.ats, r.weights)):
+                stems[stem(r.term)][k] += n
+    assert {k[1]: [r.places, r.ats, r.weights] for k, r in own.items() if k[0] == "english"} == stems
+    assert 0 < len(stems) < len(words) and any(r.term in search.STOP_WORDS for r in words)
