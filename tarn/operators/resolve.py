@@ -12,6 +12,7 @@ from tarn.operators.storage import stored
 
 SHORT = 24  # sets up to this size meet by pairs of tokens, larger ones by single tokens
 SIZED = 0.7  # similarity from which pairs of tokens are keys for certain sizes only
+FEW = 50_000  # rows that go whole to every task
 
 
 def _overlap(t: float, n: Column, m: Column) -> Column:
@@ -76,26 +77,35 @@ def _keyed(sets: DataFrame, t: float) -> DataFrame:
 
 
 def candidate_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(x, y), x < y, of the different sets that can reach the threshold: size, place of the first common tokens, sides.
+    """(x, y) of the different sets, x of the left and y of the right, that can reach the threshold: size, place of the first common
+    tokens.  Each pair comes once, also where both sets are on both sides.  Keys of the left meet keys of the right only: those
+    that many sets of one side have make no rows among themselves.
 
-    The keys lie in the shared folder, so Spark splits the rows of a key that very many sets have.
+    The right's keys lie in the shared folder, so Spark splits the rows of a key that very many sets have; where they are few, they
+    go to the left's keys, which are then not shuffled.
     """
-    keyed = stored(_keyed(sets, threshold), "set-keys")
+    right = stored(_keyed(sets.filter("r"), threshold), "set-keys")
+    left = right.filter("l").unionByName(_keyed(sets.filter("l and not r"), threshold))
     met = {"x": ("own", "other"), "y": ("other", "own")}
-    x, y = (keyed.select("key", "shared", *(F.col(c).alias(f"size{i}") for i, c in enumerate(met[k])), *(F.col(c).alias(f"{c}{k}") for c in ("sid", "l", "r", "n", "at"))) for k in ("x", "y"))
+    x, y = (df.select("key", "shared", *(F.col(c).alias(f"size{i}") for i, c in enumerate(met[k])), *(F.col(c).alias(f"{c}{k}") for c in ("sid", "l", "r", "n", "at"))) for k, df in (("x", left), ("y", right)))
     need = _overlap(threshold, F.col("nx"), F.col("ny"))
     two = (F.greatest("nx", "ny") <= SHORT) & (need >= 2)
     reach = F.col("shared") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= need
     sized = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
-    sides = (F.col("lx") & F.col("ry")) | (F.col("ly") & F.col("rx"))
-    met = x.join(y, ["key", "shared", "size0", "size1"]).filter((F.col("sidx") < F.col("sidy")) & sides & sized & reach & (two == (F.col("shared") == 2)))
+    once = (F.col("sidx") < F.col("sidy")) | ((F.col("sidx") != F.col("sidy")) & ~(F.col("rx") & F.col("ly")))
+    met = x.join(_sent(y), ["key", "shared", "size0", "size1"]).filter(once & sized & reach & (two == (F.col("shared") == 2)))
     return met.select(F.col("sidx").alias("x"), F.col("sidy").alias("y")).distinct()
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A stored table of up to FEW rows goes whole to every task of the other side."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def similar_sets(sets: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
     """(left_sid, right_sid, similarity) of sets of the two sides, equal sets included."""
-    side = lambda k: sets.select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("tokens", "l", "r")))
-    both = candidate_sets(sets, threshold).join(side("x"), "x").join(side("y"), "y")
+    side = lambda k, of: sets.filter(of).select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("tokens", "l", "r")))
+    both = candidate_sets(sets, threshold).join(side("x", "l"), "x").join(_sent(side("y", "r")), "y")
     scored = both.withColumn("similarity", X.jaccard(F.col("tokensx"), F.col("tokensy"))).filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
     turned = F.array(*(F.struct(F.col(a).alias("left_sid"), F.col(b).alias("right_sid"), (F.col(f"l{a}") & F.col(f"r{b}")).alias("ok")) for a, b in ("xy", "yx")))
     near = scored.select(F.inline(turned), "similarity").filter("ok").drop("ok")

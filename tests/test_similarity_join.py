@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +89,16 @@ def test_frequent_tokens_after_a_rare_one_are_no_key(spark, tmp_path):
     assert met.agg(F.sum(F.col("x.count") * F.col("y.count"))).first()[0] < 20 * len(rows)
     got = sorted((r.left_id, r.right_id) for r in resolve.set_similarity_join(df, df, 0.85).collect() if r.left_id < r.right_id)
     assert got == [(n, 1000 + n) for n in range(0, 400, 2)]
+
+
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_sets_of_one_side_do_not_meet(spark, monkeypatch, few):
+    """Thirty thousand sets of the left share two tokens with each other and with one set of the right.  Only the pairs with that
+    one are made; those among themselves, 450 million, took minutes."""
+    monkeypatch.setattr(resolve, "FEW", few, raising=False)
+    left = spark.range(30_000).select("id", F.expr("array('a', 'b', concat('n', id))").alias("tokens"))
+    right = spark.createDataFrame([(1, ["a", "b", "m"]), (2, ["q"])], "id long, tokens array<string>")
+    sets, _, _ = resolve._distinct_sets(left, right)
+    began = time.monotonic()
+    assert resolve.similar_sets(sets, 0.4).count() == 30_000
+    assert time.monotonic() - began < 40
