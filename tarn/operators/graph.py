@@ -99,7 +99,7 @@ def _met(left: DataFrame, right: DataFrame | None, item: list[str], also: Column
     """(a, b) for every item that a node of the left and one of the right are in (of one side with itself: a < b), and how many
     rows that may be; ``also``: a condition on the columns ``_big`` of both."""
     both = left if right is None else left.unionByName(right)
-    sizes = both.groupBy(*item).agg(F.count("*").alias("_m"))
+    sizes = both.repartition(_parts(both, both.count()), *item).groupBy(*item).agg(F.count("*").alias("_m"))
     rows, pairs, top = sizes.agg(F.sum("_m"), F.sum(F.col("_m").cast("double") * (F.col("_m") - 1) / 2), F.max("_m")).first()
     fits = F.lit(True) if right is not None else F.col("a") < F.col("b")
     fits = fits if also is None else fits & also
@@ -140,9 +140,11 @@ def _summed(met: tuple[DataFrame, int]) -> DataFrame:
     return pairs.repartition(_parts(pairs, rows), "a", "b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-def undirected(edges: DataFrame, order: list[Column], a: str = "a", b: str = "b") -> DataFrame:
-    """One edge for each unordered pair, the first in the given order; loops go."""
+def undirected(edges: DataFrame, order: list[Column], a: str = "a", b: str = "b", rows: int = 0) -> DataFrame:
+    """One edge for each unordered pair, the first in the given order; loops go.  ``rows``: about how many edges there are, where that
+    is known; they are dealt by it, so that what a task sorts does not grow with them."""
     keyed = edges.filter(F.col(a) != F.col(b)).withColumns({"_x": F.least(a, b), "_y": F.greatest(a, b)})
+    keyed = keyed.repartition(_parts(edges, rows), "_x", "_y") if rows else keyed
     return keyed.withColumn("_rn", F.row_number().over(W.partitionBy("_x", "_y").orderBy(*order))).filter("_rn = 1").drop("_rn", "_x", "_y")
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import time
 
+from oracle import FOLDER
 from pyspark.sql import functions as F
 
 from tarn.operators import graph, linking, resolve
+from tarn.plans import graph as graph_plans
+from tarn.sources import tables
 
 
 def plan(df) -> str:
@@ -40,3 +43,17 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     found = graph.equal_pairs(rows.unionByName(spark.createDataFrame([(2000, None, "x"), (2001, None, "x")], "id long, k long, j string")), ["k", "j"], "id")
     assert found.filter("a % 4 = b % 4 and a < b").distinct().count() == found.count() == 4 * 250 * 249 // 2
     assert ", 13" in plan(found)
+
+
+def test_mentions_and_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """With four partitions given, a task's share of mentions and of edges would grow with the tables."""
+    t = tables.Tables(spark, FOLDER)
+    count = t("lineitem").count()
+    whole = t.entity_mentions().count()
+    assert "RepartitionByExpression" not in plan(t.entity_mentions())
+    monkeypatch.setattr(tables, "DEALT", 500)
+    assert "RepartitionByExpression [l_orderkey" in plan(t.entity_mentions()) and f", {count // 500 + 1}" in plan(t.entity_mentions())
+    assert t.entity_mentions().count() == whole
+    monkeypatch.setattr(graph, "DEALT", 100)
+    edges = graph_plans.gra04(t)
+    assert edges.rdd.getNumPartitions() > 4 and "lineitem" not in edges._jdf.queryExecution().executedPlan().toString()
