@@ -249,9 +249,14 @@ def subgraph(edges: DataFrame, members: DataFrame, joinable: DataFrame, least: i
 
 
 def edge_families(families: dict[str, DataFrame], a: str = "source", b: str = "target") -> DataFrame:
-    """One undirected edge a pair over several families (source, target, weight): that of the first family in order that has it."""
-    tagged = [df.select(F.lit(k).alias("_k"), F.lit(name).alias("family"), a, b, F.col("weight").cast("double").alias("weight")) for k, (name, df) in enumerate(families.items())]
-    return undirected(reduce(DataFrame.unionByName, tagged), [F.col("_k"), F.desc("weight"), F.col(a)], a, b).drop("_k")
+    """One undirected edge a pair over several families (source, target, weight): that of the first family in order that has it, of
+    its edges the one with most weight, then the least source.  An edge goes to its pair as the two ends in order and whether they are
+    turned; families go as numbers."""
+    kept = [df.filter(F.col(a) != F.col(b)).select(F.lit(k).cast("byte").alias("_k"), F.least(a, b).alias("_x"), F.greatest(a, b).alias("_y"), (F.col(a) > F.col(b)).alias("_turned"), F.col("weight").cast("double").alias("weight")) for k, df in enumerate(families.values())]
+    first = F.row_number().over(W.partitionBy("_x", "_y").orderBy("_k", F.desc("weight"), "_turned"))
+    names = F.array(*map(F.lit, families))
+    ends = (F.when(F.col("_turned"), F.col(v)).otherwise(F.col(u)).alias(c) for u, v, c in (("_x", "_y", a), ("_y", "_x", b)))
+    return reduce(DataFrame.unionByName, kept).withColumn("_rn", first).filter("_rn = 1").select(F.get(names, F.col("_k").cast("int")).alias("family"), *ends, "weight")
 
 
 def citations(refs: DataFrame, item: int) -> DataFrame:

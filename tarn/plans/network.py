@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.operators import browse, graph, related, sync, vectors
+from tarn.operators.storage import stored
 from tarn.plans.graph import PAIRS, part_pairs
 from tarn.plans.registry import query
 from tarn.plans.text import COSINE, VECTORS
@@ -220,10 +221,11 @@ def gra06_documents(t: Tables) -> DataFrame:
     publication (a citation before shared entities), shared entities with a cap, citations, authors."""
     edge = lambda df, s, d, w: df.select(s.alias("source"), d.alias("target"), w.cast("double").alias("weight"))
     item = lambda c: name("item", c)
-    mentions = t.entity_mentions().select("entity_type", "entity_id", "collection", "item_id").distinct()
+    mentions = stored(t.entity_mentions().select("entity_type", "entity_id", "collection", "item_id").distinct(), "mentions")
     part = mentions.filter("entity_type = 'part'")
     kinds = lambda id, c: t.items().select(F.col("item_id").alias(id), F.col("collection").alias(c))
-    shared = graph.pair_counts(part, ["entity_id"], "item_id", 2).join(kinds("a", "ca"), "a").join(kinds("b", "cb"), "b").withColumn("w", F.least("weight", F.lit(5)))
+    shared = stored(graph.pair_counts(part, ["entity_id"], "item_id", 2), "shared").join(kinds("a", "ca"), "a").join(kinds("b", "cb"), "b")
+    shared = stored(shared.withColumn("w", F.least("weight", F.lit(5))), "shared")
     cited = t.references_cited().filter("target_item is not null").join(kinds("source_item", "cs"), "source_item").join(kinds("target_item", "ct"), "target_item")
     first = lambda kind, other: shared.filter(F.col("ca") != F.col("cb")).filter(F.col("ca").isin(kind, other) & F.col("cb").isin(kind, other)).withColumns({"x": F.when(F.col("ca") == kind, F.col("a")).otherwise(F.col("b")), "y": F.when(F.col("ca") == kind, F.col("b")).otherwise(F.col("a"))})
     links = lambda s, d, w: edge(cited.filter((F.col("cs") == s) & (F.col("ct") == d)), item("source_item"), item("target_item"), F.lit(w))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import graph, linking, resolve
 from tarn.plans import graph as graph_plans
+from tarn.plans import network as network_plans
 from tarn.sources import tables
 
 
@@ -57,3 +58,17 @@ def test_mentions_and_edges_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(graph, "DEALT", 100)
     edges = graph_plans.gra04(t)
     assert edges.rdd.getNumPartitions() > 4 and "lineitem" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mentions_of_edge_families_are_read_once(spark):
+    """Four families of documents come from the same mentions, three from the same pairs; each read lineitem again."""
+    df = network_plans.gra06_documents(tables.Tables(spark, FOLDER))
+    assert plan(df).count("Relation [l_orderkey") == 1  # for the authors
+
+
+def test_first_family_has_the_pair(spark):
+    """Ends in any order, loops and null ends; of a family's edges the one with most weight, then the least source."""
+    edge = lambda *rows: spark.createDataFrame(rows, "source string, target string, weight double")
+    found = graph.edge_families({"one": edge(("b", "a", 1.0), ("c", "c", 1.0), ("d", None, 1.0)), "two": edge(("a", "b", 9.0), ("e", "d", 2.0), ("d", "e", 2.0), ("g", "f", 3.0), ("f", "g", None), ("f", "g", 1.0))})
+    assert sorted(tuple(r) for r in found.collect()) == [("one", "b", "a", 1.0), ("two", "d", "e", 2.0), ("two", "g", "f", 3.0)]
+    assert found.columns == ["family", "source", "target", "weight"]
