@@ -53,11 +53,10 @@ def match_by_trigrams(refs: DataFrame, stages: list[tuple[str, DataFrame]], thre
     """References (id, title, year, own) against the collections one after another (name; id, title, year): the best title of the
     first collection with one at or over the threshold by trigrams, years at most ``years`` apart or unknown.  A row is not
     matched to itself (``own``: the collection and id it is, or null)."""
-    gram = lambda df: df.select("id", X.trigrams(F.col("title")).alias("tokens")).filter(F.size("tokens") > 0)
     left = refs.filter(F.length(F.trim("title")) >= least)
     out = None
     for name, collection in stages:
-        pairs = set_similarity_join(gram(left), gram(collection), threshold, strict=False)
+        pairs = set_similarity_join(left.select("id", "title"), collection.select("id", "title"), threshold, strict=False, tokens=X.trigrams(F.col("title")))
         dated = pairs.join(left.select(F.col("id").alias("left_id"), F.col("year").alias("_y"), "own"), "left_id").join(collection.select(F.col("id").alias("right_id"), F.col("year").alias("_z")), "right_id")
         near = F.coalesce(F.abs(F.col("_y") - F.col("_z")) <= years, F.lit(True))
         other = ~F.col("own").eqNullSafe(F.struct(F.lit(name).alias("collection"), F.col("right_id").alias("id")))
@@ -225,10 +224,11 @@ def story_passes(stories: DataFrame, exact: list[str], patterns: list[str], thre
     out = stories.filter(selection.title_excluded(F.col("title"), exact, patterns)).select("id", F.lit("excluded").alias("reason"))
     left = stories.join(out, "id", "left_anti")
     order = [F.desc(F.length(F.coalesce("text", F.lit("")))), F.col("id")]
-    kept = first_per_group(left.withColumn("_t", F.lower("title")), ["_t"], order).drop("_t")
+    kept = stored(first_per_group(left.withColumn("_t", F.lower("title")), ["_t"], order).drop("_t"), "stories-kept")
+    titles = kept.select("id", "title")
     out = out.unionByName(left.join(kept.select("id"), "id", "left_anti").select("id", F.lit("copy").alias("reason")))
     size = lambda n: kept.select(F.col("id").alias(n), F.length(F.coalesce("text", F.lit(""))).alias(f"{n}_size"))
-    pairs = title_pairs(kept.select("id", "title"), kept.select("id", "title"), threshold).filter("left_id < right_id").join(size("left_id"), "left_id").join(size("right_id"), "right_id")
+    pairs = title_pairs(titles, titles, threshold).filter("left_id < right_id").join(size("left_id"), "left_id").join(size("right_id"), "right_id")
     gone = pairs.select(F.when(F.col("right_id_size") > F.col("left_id_size"), F.col("left_id")).otherwise(F.col("right_id")).alias("id")).distinct()
     out = out.unionByName(gone.select("id", F.lit("near").alias("reason")))
     rest = kept.join(gone, "id", "left_anti")

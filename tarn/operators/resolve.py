@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +16,8 @@ from tarn.operators.storage import stored
 
 SHORT = 24  # sets up to this size meet by pairs of tokens, larger ones by single tokens
 SIZED = 0.7  # similarity from which pairs of tokens are keys for certain sizes only
+SIZED_SHORT = 32  # and sets up to this size meet by them
+COUNTS = 1 << 17  # numbers in which the frequencies of all tokens are kept
 FEW = 50_000  # rows that go whole to every task
 
 
@@ -24,77 +30,125 @@ def _members(df: DataFrame, tokens: Column, *more: str) -> DataFrame:
     """Rows with the token set that they have (sid, tokens); both are null for null and empty sets.  Read from the shared folder
     from here on, so that the texts are worked once, and dealt, so that large row groups of a file are no large tasks."""
     kept = F.when(F.size("tokens") > 0, F.col("tokens"))
-    plain = df.repartition(F.xxhash64("id")).select("id", *more, F.array_sort(tokens).alias("tokens")).withColumn("tokens", kept)
+    plain = df.repartition(F.xxhash64("id")).select("id", *more, F.sort_array(tokens).alias("tokens")).withColumn("tokens", kept)
     return stored(plain.withColumn("sid", F.unhex(F.md5(F.to_json("tokens")))), "token-sets")
 
 
-def _distinct_sets(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``_ordered_sets`` of two sides (id, tokens), and the members of either (sid, id)."""
-    members = [_members(df, F.col("tokens")) for df in (left, right)]
-    return _ordered_sets(*members), *(m.filter("sid is not null").select("sid", "id") for m in members)
+def _distinct_sets(left: DataFrame, right: DataFrame, tokens: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``_ordered_sets`` of two sides (id, tokens), and the members of either (sid, id).  One frame with itself is worked once.
+    ``tokens``: what to make the tokens of, after the rows are dealt."""
+    own = _members(left, F.col("tokens") if tokens is None else tokens)
+    other = own if right is left else _members(right, F.col("tokens") if tokens is None else tokens)
+    return _ordered_sets(own, other), *(m.filter("sid is not null").select("sid", "id") for m in (own, other))
 
 
 def _ordered_sets(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Of the members of two sides each different token set once (sid, tokens from rare to common, n, l and r: which sides have it)."""
-    sides = [m.filter("sid is not null").select("sid", "tokens", F.lit(k == 0).alias("l"), F.lit(k == 1).alias("r")) for k, m in enumerate((left, right))]
-    sets = sides[0].unionByName(sides[1]).groupBy("sid", "tokens").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    places = stored(sets.select("sid", "l", "r", F.explode("tokens").alias("token")), "token-places")
-    frequency = stored(places.groupBy("token").agg(F.count("*").alias("f")), "token-frequency")
-    ordered = places.join(frequency, "token").groupBy("sid", "l", "r").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("o"))
-    found = ordered.select("sid", "l", "r", F.col("o.token").alias("tokens"), F.size("o").alias("n"))
-    return stored(found, "ordered-sets")
-
-
-def _keyed(sets: DataFrame, t: float) -> DataFrame:
-    """(key, sid, l, r, n, at, shared, own, other): what a set can be found by, the place of the key's last token, how many tokens the
-    key has, and for which sizes of this and of the other set it is of use (0: any).
+    """Of the members of two sides each different token set once: sid and a number, tokens from rare to common, n, l and r (which
+    sides have it), and sig: a bit for each token by its hash, turned by every token that has it, so that two sets differ in no
+    fewer tokens than their sigs in bits."""
+    sides = [m.filter("sid is not null").select("sid", F.array_compact("tokens").alias("tokens"), F.lit(k == 0 or right is left).alias("l"), F.lit(k == 1 or right is left).alias("r")) for k, m in enumerate((left, right))]
+    both = sides[0] if right is left else sides[0].unionByName(sides[1])
+    sets = stored(both.groupBy("sid", "tokens").agg(F.max("l").alias("l"), F.max("r").alias("r")).filter(F.size("tokens") > 0), "token-sets")
+    ordered = F.transform(F.sort_array(F.arrays_zip(_frequencies(sets).alias("f"), F.col("tokens").alias("token"))), lambda s: s["token"])
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))
+    sig = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+    return stored(sets.select("sid", F.monotonically_increasing_id().alias("no"), "l", "r", ordered.alias("tokens"), F.size("tokens").alias("n"), sig.alias("sig")), "ordered-sets")
+
+
+def _frequencies(sets: DataFrame) -> Column:
+    """Of each of a set's tokens about how many sets have it.  Tokens are counted by their hash in COUNTS numbers, so neither the sets
+    are shuffled for it nor does what a task holds grow with the tokens.  Tokens that share a number count as more frequent than they
+    are, which makes more candidates but loses none: any order of tokens would do, if it is the same in all sets."""
+    spot = lambda x: F.pmod(F.xxhash64(x), F.lit(COUNTS)).cast("int")
+    counted = sets.select(F.explode("tokens").alias("t")).groupBy(spot(F.col("t")).alias("k")).count().toArrow()
+    known = np.zeros(COUNTS, np.int64)
+    known[counted["k"].to_numpy()] = counted["count"].to_numpy()
+    counts = sets.sparkSession.sparkContext.broadcast(known)
+
+    @F.arrow_udf("array<bigint>")
+    def frequencies(spots: pa.Array) -> pa.Array:
+        ends = np.cumsum(spots.value_lengths().to_numpy(zero_copy_only=False))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(counts.value[spots.flatten().to_numpy()]))
+
+    return frequencies(F.transform("tokens", spot))
+
+
+def _rules(sizes: dict[int, int], t: float) -> list[tuple[int, int, int, int, int]]:
+    """(n, own, other, shared, head): by how many of its tokens a set of n is found (shared), of which first ones (head), and which
+    class it has and which class of sets it so finds.  ``sizes``: how many sets of each size there are.
+
+    Below SIZED all are one class (0).  From there on a class is a size, -1 the sizes up to SIZED_SHORT that few sets have, and -2
+    the larger ones; sets of sizes that many have meet by two tokens, others by one.
+    """
+    least = {n: max(math.ceil(n * t - 1e-9), 1) for n in sizes}
+    need = lambda n, m: max(math.ceil((n + m) * (t / (1 + t)) - 1e-9), 1)
+    if t < SIZED:
+        single = [(n, 0, 0, 1, n - k + 1) for n, k in least.items() if n > t * SHORT - 1e-9 or need(n, k) == 1]
+        return single + [(n, 0, 0, 2, min(n, n - k + 2)) for n, k in least.items() if 1 < n <= SHORT]
+    rare = min(sum(sizes.values()) // 1000, 1000)
+    of = {n: -2 if n > SIZED_SHORT else -1 if count <= rare else n for n, count in sizes.items()}
+    heads: dict[tuple[int, int, int, int], int] = {}
+    for n in sizes:
+        low = least[n] if n <= SIZED_SHORT / t + 1 else SIZED_SHORT + 1
+        short = [m for m in range(low, SIZED_SHORT + 1) if m in sizes and min(n, m) >= t * max(n, m) - 1e-9]
+        longest = max(least[n], SIZED_SHORT + 1)  # of the larger sets the smallest, which needs the fewest common tokens
+        for m in short + ([longest] if -2 in of.values() and min(n, longest) >= t * max(n, longest) - 1e-9 else []):
+            other = of.get(m, -2) if m <= SIZED_SHORT else -2
+            shared = 2 if min(of[n], other) > 0 and need(n, m) > 1 else 1
+            key = (n, of[n], other, shared)
+            heads[key] = max(heads.get(key, 0), min(n, n - need(n, m) + shared))
+    return [(*key, head) for key, head in heads.items()]
+
+
+def _keyed(sets: DataFrame, t: float, rules: list[tuple[int, int, int, int, int]] | None = None) -> DataFrame:
+    """(key, no, l, r, n, sig, at, shared, own, other): what a set can be found by, the place of the key's last token, how many tokens
+    the key has, and the classes of this and of the other set (``_rules``).
 
     Two sets that share o tokens or more, ordered alike, have their first k common tokens among the first n - o + k of each.
     Short sets meet by their first two common tokens: such pairs are far rarer than the tokens, so frequent tokens make few
-    candidates.  Pairs that need to share only one token, and those with a set over SHORT, meet by the first.
+    candidates.  Pairs that need to share only one token, and those with a larger set, meet by the first.
 
     Tokens before a key's last one that are not in it are not shared, so a key at a later place is of use for few sizes of the other
-    set or for none.  From SIZED on these sizes are few, and sets meet by key and sizes: two frequent tokens that come
-    after a rare one are then no key of all the sets that have them.
+    set or for none.  From SIZED on these sizes are few, and sets meet by key and sizes, of the sizes that there are: two frequent
+    tokens that come after a rare one are then no key of all the sets that have them.
     """
-    n = F.col("n")
-    least = F.greatest(F.ceil(n * t - 1e-9), F.lit(1)).cast("int")
-    head = lambda k: F.slice("tokens", F.lit(1), F.least(n, n - least + k).cast("int"))
-    place = lambda x, i: F.struct(F.xxhash64(x).alias("key"), (i + 1).cast("int").alias("at"), F.lit(1).alias("shared"))
-    single = F.transform(head(1), place)
-    later = lambda x, i: F.transform(F.slice(head(2), F.lit(1), i.cast("int")), lambda y: F.struct(F.xxhash64(y, x).alias("key"), (i + 1).cast("int").alias("at"), F.lit(2).alias("shared")))
-    double = F.flatten(F.transform(head(2), lambda x, i: F.when(i > 0, later(x, i)).otherwise(F.array().cast("array<struct<key:bigint,at:int,shared:int>>"))))
-    none = F.array().cast("array<struct<key:bigint,at:int,shared:int>>")
-    alone = (n > t * SHORT - 1e-9) | (_overlap(t, n, least) == 1)
-    keys = F.concat(F.when(alone, single).otherwise(none), F.when((n <= SHORT) & (n > 1), double).otherwise(none))
-    found = sets.select("sid", "l", "r", "n", F.inline(keys))
-    two = F.col("shared") == 2
-    if t < SIZED:
-        return found.withColumns({"own": F.lit(0), "other": F.lit(0)})
-    most = F.least(F.floor(n / t + 1e-9).cast("int"), F.lit(SHORT))
-    use = F.filter(F.sequence(F.least(least, most), most), lambda m: 2 + n - F.col("at") >= _overlap(t, n, m))
-    return found.withColumns({"own": F.when(two, n).otherwise(0), "other": F.explode(F.when(two, use).otherwise(F.array(F.lit(0))))})
+    rules = _rules(_sizes(sets), t) if rules is None else rules
+    table = sets.sparkSession.createDataFrame(rules, "n int, own int, other int, shared int, head int")
+    asked = sets.join(F.broadcast(table), "n").select("no", "l", "r", "n", "sig", "own", "other", "shared", F.transform(F.slice("tokens", F.lit(1), F.col("head")), lambda x: F.xxhash64(x)).alias("h"))
+    place = lambda key, i: F.struct(key.alias("key"), (i + 1).cast("int").alias("at"))
+    later = lambda x, i: F.transform(F.slice("h", F.lit(1), i.cast("int")), lambda y: place(F.xxhash64(y, x), i))
+    keys = F.when(F.col("shared") == 1, F.transform("h", place)).otherwise(F.flatten(F.transform("h", later)))
+    return asked.select("no", "l", "r", "n", "sig", "own", "other", "shared", F.inline(keys))
+
+
+def _sizes(sets: DataFrame) -> dict[int, int]:
+    return {r.n: r["count"] for r in sets.groupBy("n").count().collect()}
 
 
 def candidate_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """(x, y) of the different sets, x of the left and y of the right, that can reach the threshold: size, place of the first common
-    tokens.  Each pair comes once, also where both sets are on both sides.  Keys of the left meet keys of the right only: those
-    that many sets of one side have make no rows among themselves.
+    """(x, y) of the numbers of different sets, x of the left and y of the right, that can reach the threshold: size, place of the
+    first common tokens, bits in which their sigs differ.  Each pair comes once, also where both sets are on both sides.  Keys of
+    the left meet keys of the right only: those that many sets of one side have make no rows among themselves.
 
-    The right's keys lie in the shared folder, so Spark splits the rows of a key that very many sets have; where they are few, they
-    go to the left's keys, which are then not shuffled.
+    Where the right's keys are few, they go to the left's, which are then not shuffled.
     """
-    right = stored(_keyed(sets.filter("r"), threshold), "set-keys")
-    left = right.filter("l").unionByName(_keyed(sets.filter("l and not r"), threshold))
-    met = {"x": ("own", "other"), "y": ("other", "own")}
-    x, y = (df.select("key", "shared", *(F.col(c).alias(f"size{i}") for i, c in enumerate(met[k])), *(F.col(c).alias(f"{c}{k}") for c in ("sid", "l", "r", "n", "at"))) for k, df in (("x", left), ("y", right)))
+    known = sets.filter("r")
+    few = known.count() <= FEW
+    rules = _rules(_sizes(sets), threshold)
+    right = _keyed(known, threshold, rules)
+    right = stored(right, "set-keys") if few else right
+    left = _keyed(sets.filter("l"), threshold, rules)
+    turned = {"x": ("own", "other"), "y": ("other", "own")}
+    x, y = (df.select(F.xxhash64("key", "shared", *turned[k]).alias("key"), "shared", *(F.col(c).alias(f"{c}{k}") for c in ("no", "l", "r", "n", "at", "sig"))) for k, df in (("x", left), ("y", right)))
     need = _overlap(threshold, F.col("nx"), F.col("ny"))
     two = (F.greatest("nx", "ny") <= SHORT) & (need >= 2)
+    once = F.lit(True) if threshold >= SIZED else two == (F.col("shared") == 2)
     reach = F.col("shared") + F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) >= need
+    alike = F.bit_count(F.col("sigx").bitwiseXOR(F.col("sigy"))) <= F.col("nx") + F.col("ny") - 2 * need
     sized = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
-    once = (F.col("sidx") < F.col("sidy")) | ((F.col("sidx") != F.col("sidy")) & ~(F.col("rx") & F.col("ly")))
-    met = x.join(_sent(y), ["key", "shared", "size0", "size1"]).filter(once & sized & reach & (two == (F.col("shared") == 2)))
-    return met.select(F.col("sidx").alias("x"), F.col("sidy").alias("y")).distinct()
+    other = (F.col("nox") < F.col("noy")) | ((F.col("nox") != F.col("noy")) & ~(F.col("rx") & F.col("ly")))
+    met = x.join(_sent(y) if few else y, ["key", "shared"]).filter(other & sized & alike & reach & once)
+    return met.select(F.col("nox").alias("x"), F.col("noy").alias("y")).distinct()
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -104,22 +158,23 @@ def _sent(df: DataFrame) -> DataFrame:
 
 def similar_sets(sets: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
     """(left_sid, right_sid, similarity) of sets of the two sides, equal sets included."""
-    side = lambda k, of: sets.filter(of).select(F.col("sid").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("tokens", "l", "r")))
-    both = candidate_sets(sets, threshold).join(side("x", "l"), "x").join(_sent(side("y", "r")), "y")
+    side = lambda k, of: sets.filter(of).select(F.col("no").alias(k), *(F.col(c).alias(f"{c}{k}") for c in ("sid", "tokens", "l", "r")))
+    met = _sent(stored(candidate_sets(sets, threshold), "set-pairs"))
+    both = met.join(side("x", "l"), "x").join(_sent(side("y", "r")), "y")
     scored = both.withColumn("similarity", X.jaccard(F.col("tokensx"), F.col("tokensy"))).filter(F.col("similarity") > threshold if strict else F.col("similarity") >= threshold)
-    turned = F.array(*(F.struct(F.col(a).alias("left_sid"), F.col(b).alias("right_sid"), (F.col(f"l{a}") & F.col(f"r{b}")).alias("ok")) for a, b in ("xy", "yx")))
+    turned = F.array(*(F.struct(F.col(f"sid{a}").alias("left_sid"), F.col(f"sid{b}").alias("right_sid"), (F.col(f"l{a}") & F.col(f"r{b}")).alias("ok")) for a, b in ("xy", "yx")))
     near = scored.select(F.inline(turned), "similarity").filter("ok").drop("ok")
     same = sets.filter("l and r").select(F.col("sid").alias("left_sid"), F.col("sid").alias("right_sid"), F.lit(1.0).alias("similarity"))
     return near.unionByName(same) if threshold < 1 or not strict else near
 
 
-def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
+def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, strict: bool = True, tokens: Column | None = None) -> DataFrame:
     """(left_id, right_id, similarity) of all pairs whose token sets have a Jaccard similarity over the threshold.
 
-    Both sides have id and tokens (an array of distinct tokens); null and empty sets are similar to none.  Equal sets are worked
+    Both sides have id and tokens (an array of distinct tokens), or what ``tokens`` makes them of; null and empty sets are similar to none.  Equal sets are worked
     once, whatever the number of rows that have them; only the pairs that come out are spread over those rows.  No pair is lost.
     """
-    sets, own, other = _distinct_sets(left, right)
+    sets, own, other = _distinct_sets(left, right, tokens)
     found = similar_sets(sets, threshold, strict)
     of = lambda df, name: df.select(F.col("sid").alias(f"{name}_sid"), F.col("id").alias(f"{name}_id"))
     return found.join(of(own, "left"), "left_sid").join(of(other, "right"), "right_sid").select("left_id", "right_id", "similarity")
@@ -128,10 +183,11 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float, str
 def title_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Title similarity over the threshold between two frames (id, title); titles equal after normalising have 1, also two that
     have no word."""
-    tokens = lambda df: df.select("id", X.title_words(F.col("title")).alias("tokens"))
-    blank = lambda df, name: df.filter(X.normal_title(F.col("title")) == "").select(F.col("id").alias(name), F.lit(0).alias("k"))
-    same = blank(left, "left_id").join(blank(right, "right_id"), "k").select("left_id", "right_id", F.lit(1.0).alias("similarity"))
-    return set_similarity_join(tokens(left), tokens(right), threshold).unionByName(same)
+    blank = lambda df: stored(df.filter(X.normal_title(F.col("title")) == "").select("id"), "blank-titles")
+    bare = blank(left)
+    others = bare if right is left else blank(right)
+    same = bare.select(F.col("id").alias("left_id")).crossJoin(others.select(F.col("id").alias("right_id"))).withColumn("similarity", F.lit(1.0))
+    return set_similarity_join(left, right, threshold, tokens=X.title_words(F.col("title"))).unionByName(same)
 
 
 def with_group(df: DataFrame, *more: str) -> DataFrame:

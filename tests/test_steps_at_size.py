@@ -7,6 +7,7 @@ import time
 from oracle import FOLDER
 from pyspark.sql import functions as F
 
+from tarn.functions import text as X
 from tarn.operators import graph, linking, resolve
 from tarn.plans import graph as graph_plans
 from tarn.plans import network as network_plans
@@ -72,3 +73,24 @@ def test_first_family_has_the_pair(spark):
     found = graph.edge_families({"one": edge(("b", "a", 1.0), ("c", "c", 1.0), ("d", None, 1.0)), "two": edge(("a", "b", 9.0), ("e", "d", 2.0), ("d", "e", 2.0), ("g", "f", 3.0), ("f", "g", None), ("f", "g", 1.0))})
     assert sorted(tuple(r) for r in found.collect()) == [("one", "b", "a", 1.0), ("two", "d", "e", 2.0), ("two", "g", "f", 3.0)]
     assert found.columns == ["family", "source", "target", "weight"]
+
+
+def test_titles_without_a_word_are_set_apart_once(spark):
+    """Titles without a word were looked for again in every pair of parts of the two sides."""
+    titles = spark.createDataFrame([(1, "Plants of the meadow"), (2, "the plants of a Meadow"), (3, "!"), (4, " "), (5, None), (6, "of the meadow, plants")], "id long, title string")
+    found = resolve.title_pairs(titles, titles, 0.85)
+    assert "regexp_replace" not in plan(found)
+    assert sorted((r.left_id, r.right_id) for r in found.collect()) == [(1, 1), (1, 6), (2, 2), (3, 3), (3, 4), (4, 3), (4, 4), (6, 1), (6, 6)]
+
+
+def test_trigrams_of_random_titles_make_few_candidates(spark):
+    """Titles of random words and a common end: by single trigrams 5,000 of them made 7 million candidates, which were shuffled."""
+    title = F.expr("concat(left(sha2(cast(id as string), 256), 8), ' ', left(sha2(cast(-id - 1 as string), 256), 8), ' is a title')")
+    rows = spark.range(5000).select("id", X.trigrams(title).alias("tokens"))
+    near = rows.filter("id < 50").select((F.col("id") + 10_000).alias("id"), F.expr("concat(filter(tokens, t -> t <> tokens[4]), array('???'))").alias("tokens"))
+    sets, _, _ = resolve._distinct_sets(rows, near)
+    assert sets.agg(F.min("n")).first()[0] > resolve.SHORT
+    sets = sets.select("sid", "no", "tokens", "n", "sig", F.lit(True).alias("l"), F.lit(True).alias("r"))
+    assert resolve.candidate_sets(sets, 0.8).count() < 1000
+    found = resolve.set_similarity_join(rows, near, 0.8, strict=False)
+    assert sorted((r.left_id, r.right_id) for r in found.collect()) == [(k, 10_000 + k) for k in range(50)]
