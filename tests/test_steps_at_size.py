@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+import pytest
 from oracle import FOLDER
 from pyspark.sql import functions as F
 
@@ -94,3 +95,16 @@ def test_trigrams_of_random_titles_make_few_candidates(spark):
     assert resolve.candidate_sets(sets, 0.8).count() < 1000
     found = resolve.set_similarity_join(rows, near, 0.8, strict=False)
     assert sorted((r.left_id, r.right_id) for r in found.collect()) == [(k, 10_000 + k) for k in range(50)]
+
+
+@pytest.mark.parametrize("whole", [3, 1_000_000])
+def test_runs_that_are_no_phrase_are_not_shuffled(spark, monkeypatch, whole):
+    """Every word of every text went through the shuffle with each length of phrases; whatever the size of the phrases, it need not."""
+    monkeypatch.setattr(linking, "WHOLE", whole, raising=False)
+    docs = spark.createDataFrame([(1, "a b c d a b"), (2, "x a B"), (3, None)], "doc_id long, text string")
+    phrases = spark.createDataFrame([(1, "a b"), (2, "d"), (3, "c d a"), (4, "A, b"), (5, "y"), (6, "q r s"), (7, "b c d e")], "phrase_id long, phrase string")
+    monkeypatch.setattr(linking, "stored", lambda df, name: df.localCheckpoint())
+    found, _ = linking._phrases_met(docs, phrases, "doc_id", "text")
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and plan(found).count("LeftSemi") == (2 if whole == 3 else 1)
+    got = linking.phrase_counts(docs, phrases, "doc_id", "text").collect()
+    assert {(r.item_id, r.phrase_id): (r.places, r.first) for r in got} == {(1, 1): (2, 1), (1, 4): (2, 1), (1, 2): (1, 4), (1, 3): (1, 3), (2, 1): (1, 2), (2, 4): (1, 2)}
