@@ -108,3 +108,12 @@ def test_runs_that_are_no_phrase_are_not_shuffled(spark, monkeypatch, whole):
     assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString() and plan(found).count("LeftSemi") == (2 if whole == 3 else 1)
     got = linking.phrase_counts(docs, phrases, "doc_id", "text").collect()
     assert {(r.item_id, r.phrase_id): (r.places, r.first) for r in got} == {(1, 1): (2, 1), (1, 4): (2, 1), (1, 2): (1, 4), (1, 3): (1, 3), (2, 1): (1, 2), (2, 4): (1, 2)}
+
+
+def test_blocks_of_pairs_are_dealt_by_their_pairs(spark, monkeypatch):
+    """The blocks of 600 nodes with the same items are a few kilobytes, their 179,700 pairs are not; one task made all of them."""
+    monkeypatch.setattr(graph, "HUB", 50)
+    members = spark.range(600).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("item"))
+    found = graph.pair_counts_by_class(members, ["item"], "id", 2)
+    assert found.groupBy(F.spark_partition_id()).count().count() == 4
+    assert found.filter("a < b and weight = 2").distinct().count() == found.count() == 600 * 599 // 2
